@@ -46,9 +46,8 @@ def row_width(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """True when the counted rows prove that ``df`` is small. Counting stops one row past the bound."""
-    most = limit // row_width(df)
-    return df.limit(most + 1).count() <= most
+    """True when the counted rows prove that ``df`` is small."""
+    return df.count() <= limit // row_width(df)
 
 
 def join_dim(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left") -> DataFrame:
