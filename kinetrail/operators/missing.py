@@ -112,7 +112,7 @@ def fill_hierarchical(
         else:
             middle = F.median(value) if depth == 0 and len(levels) > 1 else F.percentile_approx(value, 0.5, 1000)
             stats = mine.groupBy(*keys).agg(middle.alias("_fill"), F.count("*").alias("_support"))
-        stats = stats.where(F.col("_support") >= min_support).drop("_support")
+        stats = cut(stats.where(F.col("_support") >= min_support).drop("_support"))
         tried = cut(join_dim(rest, stats, keys, "left"))
         done.append(tried.where("_fill is not null").withColumn(value, F.col("_fill")).drop("_fill").withColumn("fill_level", F.lit(depth)))
         rest = tried.where("_fill is null").drop("_fill")
