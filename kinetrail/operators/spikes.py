@@ -74,6 +74,24 @@ def residuals(v: np.ndarray, new: np.ndarray, reach: int = REACH) -> np.ndarray:
     return out
 
 
+def outside(v: np.ndarray, new: np.ndarray, at: np.ndarray, reach: int = 2 * REACH + 1) -> np.ndarray:
+    """How far the readings ``at`` lie beyond the medians of the readings before and after them: 0 for one in between, as in
+    the start or end of a fast movement. Mirrored at the ends of a series."""
+    first = np.flatnonzero(np.r_[True, new[1:]])
+    which = np.searchsorted(first, at, side="right") - 1
+    lo, top = first[which], np.r_[first[1:], len(v)][which] - 1
+    away = np.arange(1, reach + 1)
+
+    def median(side: int) -> np.ndarray:
+        i = at[:, None] + side * away
+        i = np.where(i < lo[:, None], 2 * lo[:, None] - i, i)
+        i = np.where(i > top[:, None], 2 * top[:, None] - i, i)
+        return np.partition(v[np.clip(i, lo[:, None], top[:, None])], reach // 2, axis=1)[:, reach // 2]
+
+    a, b = median(-1), median(1)
+    return np.maximum(0, np.maximum(v[at] - np.maximum(a, b), np.minimum(a, b) - v[at]))
+
+
 def _bins(r: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(r + 2.0**-10) * BINS_PER_OCTAVE).astype(np.int64)
 
@@ -128,8 +146,9 @@ def _kernel(shard_frames: int, keep_all: bool):
                 continue
             at = at[~no]
             s = series[at]
-            r = residuals(v[at], np.r_[True, s[1:] != s[:-1]])
-            mine = home[at]
+            edge, value = np.r_[True, s[1:] != s[:-1]], v[at]
+            r = residuals(value, edge)
+            mine = np.flatnonzero(home[at])
             at, r = at[mine], r[mine]
             b, sources = _bins(r), sid[at]
             floor = np.zeros(len(r))
@@ -145,11 +164,13 @@ def _kernel(shard_frames: int, keep_all: bool):
                     least = _edge(xs[int(np.searchsorted(cum, 0.95 * cum[-1]))])
                     h["floor"] = max(h["floor"], least)
                     floor[own] = least
-            hit = r >= floor
+            hit = np.flatnonzero(r >= floor)
+            r = np.minimum(r[hit], outside(value, edge, mine[hit]))
+            hit, r = hit[r >= floor[hit]], r[r >= floor[hit]]
             rows.append(at[hit])
-            kinds.append(np.full(hit.sum(), "far"))
-            sizes.append(r[hit])
-            fields.append(np.full(hit.sum(), f))
+            kinds.append(np.full(len(hit), "far"))
+            sizes.append(r)
+            fields.append(np.full(len(hit), f))
         rows = np.concatenate(rows)
         if not len(rows):
             return None
