@@ -1,8 +1,8 @@
 """Implausible spikes, frozen values and impossible readings in tracked measurements.
 
 A track is cut into shards of frames that carry a halo of their neighbours' frames. In a shard each axis is compared with
-its running median, which follows rests and steady movement; the residuals of a source, as a histogram, give the source's
-cutoff by peaks over threshold: a generalised Pareto tail above the 95 % residual, its scale and shape from the quantiles
+its own course just before and after, which takes out rests and steady movement; the residuals of a source, as a histogram,
+give the source's cutoff by peaks over threshold: a generalised Pareto tail above the 95 % residual, its scale and shape from the quantiles
 at a half and a quarter of the exceedances (where the spikes themselves, a small share, don't reach), extrapolated to a
 fixed risk. What lies beyond the cutoff for a few readings and comes back is a spike. Stuck values and impossible readings
 have rules of their own.
@@ -23,11 +23,13 @@ from kinetrail.plans.runtime import cut, join_dim, nan_to_null, table
 
 FIELDS = ("x", "y", "likelihood")
 SHARD_FRAMES, HALO_FRAMES = 8192, 512
-#: Readings on either side in the running median: an excursion of more readings than this is no spike.
-REACH = 7
+#: An excursion of more readings than this is no spike.
+MOST_READINGS = 5
 STUCK_LEAST = 10
 #: Probability that a reading of a well-behaved source passes its cutoff, and the bound of the tail's shape.
 RISK, SHAPE_MOST = 1e-8, 0.05
+#: A spike goes beyond the level of that risk by this factor.
+MARGIN = 1.6
 BINS_PER_OCTAVE = 16
 ROWS_AT_ONCE = 60_000
 
@@ -50,48 +52,29 @@ def stuck(v: np.ndarray, new: np.ndarray, least: int = STUCK_LEAST) -> np.ndarra
     return long & ~start
 
 
-def residuals(v: np.ndarray, new: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Distance of each reading from the median of the readings around it in its series, mirrored at the series' ends.
-    Series of fewer than three readings have none (0)."""
-    if not len(v):
-        return np.zeros(0)
-    first = np.flatnonzero(np.r_[True, new[1:]])
-    size = np.diff(np.r_[first, len(v)])
-    wide = size + 2 * reach
-    off = np.repeat(first, wide)
-    top = np.repeat(size - 1, wide)
-    i = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide) - reach
-    i = np.abs(i)
-    i = np.where(i > top, 2 * top - i, i)
-    padded = v[off + np.clip(i, 0, top)]
-    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1)
-    centre = np.repeat(np.cumsum(wide) - wide, size) + np.arange(len(v)) - np.repeat(first, size)
-    out = np.empty(len(v))
-    for a in range(0, len(v), 20_000):
-        c = centre[a : a + 20_000]
-        out[a : a + 20_000] = np.abs(v[a : a + 20_000] - np.partition(windows[c], reach, axis=1)[:, reach])
-    out[np.repeat(size < 3, size)] = 0
+def residuals(v: np.ndarray, new: np.ndarray, most: int = MOST_READINGS) -> np.ndarray:
+    """Depth of the excursion a reading is part of: over all runs of up to ``most`` readings that hold it, the largest distance
+    that every reading of the run keeps from the band between the reading before and the one after the run. A rest, a
+    steady movement however fast, and a turn stay within a step of that band. A run at an end of its series has no band (0)."""
+    n = len(v)
+    out = np.zeros(n)
+    series = np.cumsum(new)
+    for size in range(1, most + 1):
+        if n < size + 2:
+            break
+        a, b = v[: n - size - 1], v[size + 1 :]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        depth = np.where(series[: n - size - 1] == series[size + 1 :], np.inf, 0.0)
+        for k in range(1, size + 1):
+            x = v[k : n - size - 1 + k]
+            np.minimum(depth, np.maximum(x - high, low - x), out=depth)
+        np.maximum(depth, 0, out=depth)
+        for k in range(1, size + 1):
+            part = out[k : n - size - 1 + k]
+            np.maximum(part, depth, out=part)
     return out
 
 
-def outside(v: np.ndarray, new: np.ndarray, at: np.ndarray, reach: int = 2 * REACH + 1) -> np.ndarray:
-    """How far the readings ``at`` lie beyond the medians of the readings before and after them: 0 for one in between, as in
-    the start or end of a fast movement. Mirrored at the ends of a series."""
-    first = np.flatnonzero(np.r_[True, new[1:]])
-    which = np.searchsorted(first, at, side="right") - 1
-    lo, top = first[which], np.r_[first[1:], len(v)][which] - 1
-    away = np.arange(1, reach + 1)
-
-    def median(side: int) -> np.ndarray:
-        i = at[:, None] + side * away
-        i = np.where(i < lo[:, None], 2 * lo[:, None] - i, i)
-        i = np.where(i > top[:, None], 2 * top[:, None] - i, i)
-        return np.partition(v[np.clip(i, lo[:, None], top[:, None])], reach // 2, axis=1)[:, reach // 2]
-
-    a, b = median(-1), median(1)
-    return np.maximum(0, np.maximum(v[at] - np.maximum(a, b), np.minimum(a, b) - v[at]))
-
-
 def _bins(r: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(r + 2.0**-10) * BINS_PER_OCTAVE).astype(np.int64)
 
@@ -118,7 +101,7 @@ def gpd_cutoff(bins: np.ndarray, n: np.ndarray) -> float:
         level = u + (half - u) / math.log(2) * math.log(odds)
     else:
         level = u + (half - u) / (2**shape - 1) * (odds**shape - 1)
-    return max(level, 2 * q(0.99))
+    return MARGIN * max(level, 2 * q(0.99))
 
 
 def _kernel(shard_frames: int, keep_all: bool):
@@ -146,9 +129,8 @@ def _kernel(shard_frames: int, keep_all: bool):
                 continue
             at = at[~no]
             s = series[at]
-            edge, value = np.r_[True, s[1:] != s[:-1]], v[at]
-            r = residuals(value, edge)
-            mine = np.flatnonzero(home[at])
+            r = residuals(v[at], np.r_[True, s[1:] != s[:-1]])
+            mine = home[at]
             at, r = at[mine], r[mine]
             b, sources = _bins(r), sid[at]
             floor = np.zeros(len(r))
@@ -164,13 +146,11 @@ def _kernel(shard_frames: int, keep_all: bool):
                     least = _edge(xs[int(np.searchsorted(cum, 0.95 * cum[-1]))])
                     h["floor"] = max(h["floor"], least)
                     floor[own] = least
-            hit = np.flatnonzero(r >= floor)
-            r = np.minimum(r[hit], outside(value, edge, mine[hit]))
-            hit, r = hit[r >= floor[hit]], r[r >= floor[hit]]
+            hit = r >= floor if keep_all else (r >= floor) & (r > 0)
             rows.append(at[hit])
-            kinds.append(np.full(len(hit), "far"))
-            sizes.append(r)
-            fields.append(np.full(len(hit), f))
+            kinds.append(np.full(hit.sum(), "far"))
+            sizes.append(r[hit])
+            fields.append(np.full(hit.sum(), f))
         rows = np.concatenate(rows)
         if not len(rows):
             return None
