@@ -223,7 +223,7 @@ def flag_spikes(track: DataFrame, *, shard_frames: int = SHARD_FRAMES, halo_fram
     bad = bit(no("x", F.col("frame_w")), 0) + bit(no("y", F.col("frame_h")), 1) + bit(no("likelihood", F.lit(1.0)), 2)
     shard = F.floor(F.col("frame") / shard_frames).cast("bigint")
     into = F.col("frame") - shard * shard_frames
-    shards = F.array(shard, F.when(into < halo_frames, shard - 1), F.when(into >= shard_frames - halo_frames, shard + 1))
+    shards = F.array(shard, F.when((into < halo_frames) & (shard != 0), shard - 1), F.when(into >= shard_frames - halo_frames, shard + 1))
     rows = track.where("session_id is not null and bodypart is not null and frame is not null").select(
         F.xxhash64("session_id", "bodypart").alias("tid"),
         F.explode(F.filter(shards, lambda s: s.isNotNull())).alias("shard"),
