@@ -1,7 +1,7 @@
 """All queries outside the llm subpackage, and the SQL they are compared with."""
 
-from kinetrail.queries import behaviour, training
+from kinetrail.queries import behaviour, statistics, tracks, training
 
-MODULES = [behaviour, training]
+MODULES = [behaviour, tracks, statistics, training]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}

@@ -23,6 +23,10 @@ def r4(df):
     return df.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def r7(df):
+    return df.select(*[F.round(c, 7).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def bins(spark, d):
     return X.binned(pose(spark, d), sessions(spark, d))
 
@@ -45,7 +49,7 @@ QUERIES = {
     "run_median_filter": lambda s, d: r4(C.run_median(pose(s, d))),
     "likelihood_gate": lambda s, d: r4(C.gate(pose(s, d), 0.6).select("session_id", "frame", "bodypart", "likelihood")),
     "fill_mask": fill_mask,
-    "likelihood_by_frame": lambda s, d: r4(pose(s, d).groupBy("session_id", "frame").agg(F.min("likelihood").alias("least"), F.avg("likelihood").alias("mean"), F.max("likelihood").alias("most"))),
+    "likelihood_by_frame": lambda s, d: r7(pose(s, d).groupBy("session_id", "frame").agg(F.min("likelihood").alias("least"), F.avg("likelihood").alias("mean"), F.max("likelihood").alias("most"))),
     "bodypart_conservation": lambda s, d: r4(C.conserved(pose(s, d))),
     "bodypart_intersection": lambda s, d: C.common_bodyparts(join_dim(pose(s, d), sessions(s, d).select("session_id", "source"), ["session_id"], "inner"), "source", "session_id"),
     "auto_weights": lambda s, d: r4(C.auto_weights(C.low_fraction(pose(s, d), 0.9), {"neck": 2.0})),
@@ -114,7 +118,7 @@ SQL = {
       WINDOW w AS (PARTITION BY session_id, bodypart, start_frame ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
     "likelihood_gate": f"WITH {POSE} SELECT session_id, frame, bodypart, round(CASE WHEN likelihood < 0.6 THEN 0 ELSE likelihood END, 4) AS likelihood FROM p",
     "fill_mask": "SELECT session_id, cam, frame_idx, CASE WHEN bool_or(coalesce(is_fill, false)) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS likelihood FROM cam_timestamp WHERE frame_idx IS NOT NULL GROUP BY ALL",
-    "likelihood_by_frame": f"WITH {POSE} SELECT session_id, frame, round(min(likelihood), 4) AS least, round(avg(likelihood), 4) AS mean, round(max(likelihood), 4) AS most FROM p GROUP BY ALL",
+    "likelihood_by_frame": f"WITH {POSE} SELECT session_id, frame, round(min(likelihood), 7) AS least, round(avg(likelihood), 7) AS mean, round(max(likelihood), 7) AS most FROM p GROUP BY ALL",
     "bodypart_conservation": f"""WITH {POSE}, m AS (SELECT session_id, bodypart, median(likelihood) AS m FROM p WHERE likelihood IS NOT NULL GROUP BY ALL),
       s AS (SELECT bodypart, count(*) FILTER (m >= 0.3) / (SELECT count(DISTINCT session_id) FROM p) AS share, avg(m) AS mm FROM m GROUP BY 1)
       SELECT bodypart, round(share, 4) AS share, share >= 0.85 OR row_number() OVER (ORDER BY share DESC, mm DESC, bodypart) <= 6 AS kept FROM s""",
