@@ -23,7 +23,7 @@ def fill_gaps(pose: DataFrame, threshold: float, most: int | None) -> DataFrame:
     """Positions below the threshold or missing: a straight line over gaps of up to ``most`` frames (None: all), beyond that the
     left value up to the middle and the right one after it, marked ``flat_held``; at an end of the track the nearest value."""
     good = (F.col("likelihood") >= threshold) & F.col("x").isNotNull() & F.col("y").isNotNull()
-    p = carry(pose, TRACK, "frame", F.when(good, F.struct("x", "y")), "b", "a")
+    p = carry(pose.select(*TRACK, "frame", "x", "y", "likelihood"), TRACK, "frame", F.when(good, F.struct("x", "y")), "b", "a")
     gap = F.col("a.at") - F.col("b.at") - 1
     t = (F.col("frame") - F.col("b.at")) / (F.col("a.at") - F.col("b.at"))
     line = (gap <= most) if most is not None else F.lit(True)
@@ -42,7 +42,7 @@ def boxcar(pose: DataFrame, width: int) -> DataFrame:
     if width <= 1:
         return pose.select("session_id", "frame", "bodypart", "x", "y")
     w = in_shards(TRACK, "frame").rowsBetween(-(width // 2), (width - 1) // 2)
-    p = halo(pose, "frame", 64 + 4 * width)
+    p = halo(pose.select(*TRACK, "frame", "x", "y"), "frame", 64 + 4 * width)
     for c in ("x", "y"):
         p = p.withColumn(f"_{c}", F.sum(F.coalesce(c, F.lit(0.0))).over(w) / width)
     return home(p).select("session_id", "frame", "bodypart", F.col("_x").alias("x"), F.col("_y").alias("y"))
@@ -57,7 +57,7 @@ def confident_runs(pose: DataFrame, threshold: float = 0.6, least: int = 7) -> D
 def run_median(pose: DataFrame, threshold: float = 0.6, least: int = 7, width: int = 5) -> DataFrame:
     """Running median within each confident run; other rows keep their values. Ends of a run use what is there."""
     runs = confident_runs(pose, threshold, least).select(*TRACK, "start_frame", F.explode(F.expr("sequence(start_frame, start_frame + run_len - 1)")).alias("frame"))
-    p = pose.join(runs, [*TRACK, "frame"], "left")
+    p = pose.select(*TRACK, "frame", "x", "y").join(runs, [*TRACK, "frame"], "left")
     inside = halo(p.where("start_frame is not null"), "frame", width)
     w = in_shards([*TRACK, "start_frame"], "frame").rowsBetween(-(width // 2), width // 2)
     for c in ("x", "y"):

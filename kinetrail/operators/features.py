@@ -21,7 +21,7 @@ def binned(pose: DataFrame, sessions: DataFrame) -> DataFrame:
     s = sessions.select("session_id", F.greatest(F.lit(1), F.bround(F.coalesce("fps", F.lit(30.0)) / 10).cast("int")).alias("win"))
     top = pose.groupBy("session_id").agg((F.max("frame") + 1).alias("_n"))
     s = s.join(top, "session_id").withColumn("_bins", F.floor(F.col("_n") / F.col("win"))).drop("_n")
-    p = join_dim(pose, s, ["session_id"], "inner").withColumn("bin", F.floor(F.col("frame") / F.col("win")))
+    p = join_dim(pose.select(*TRACK, "frame", "x", "y", "likelihood"), s, ["session_id"], "inner").withColumn("bin", F.floor(F.col("frame") / F.col("win")))
     return p.where("bin < _bins").drop("_bins")
 
 
@@ -123,7 +123,7 @@ def turned_away(b: DataFrame, head: list[str], nose: list[str], thresholds: Data
 def tracking_metrics(pose: DataFrame, sessions: DataFrame) -> DataFrame:
     """Per session and body part: mean, spread and variation of the speed in px/s, jitter (mean change of the step, px a frame),
     spread of the position, box area, mean likelihood and share below 0.3."""
-    p = halo(pose, "frame", 8)
+    p = halo(pose.select(*TRACK, "frame", "x", "y", "likelihood"), "frame", 8)
     w = in_shards(TRACK, "frame")
     p = p.withColumn("step", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
     p = p.withColumn("turn", F.abs(F.col("step") - F.lag("step").over(w)))

@@ -173,7 +173,7 @@ def friedman(df: DataFrame, block: str, level: str, value: str, levels: list) ->
     a = s.agg(F.sum(F.pow("r", F.lit(2))).alias("q"), F.max("n").alias("n")).join(F.broadcast(ties))
     n = F.col("n").cast("double")
     chi = (12 / (n * k * (k + 1)) * F.col("q") - 3 * n * (k + 1)) / (1 - F.col("t") / (n * (k**3 - k)))
-    return a.select(chi.alias("chi2"), F.col("n"))
+    return a.select(chi.alias("chi2"), F.col("n").cast("bigint").alias("n"))
 
 
 def prevalence(df: DataFrame, group: str, present: Column) -> DataFrame:
