@@ -58,7 +58,9 @@ def regularize(
     )
     # One packed row per shard that has readings; a shard holds one reading per slot at most, so its size is bounded.
     packed = own.groupBy(*keys, "shard").agg(F.sort_array(F.collect_list(F.struct("slot", "value"))).alias("obs"))
-    ends = packed.select(*keys, "shard", F.slice("obs", 1, 2).alias("head"), _last2(F.col("obs")).alias("tail"))
+    whole = shards.join(packed, [*keys, "shard"], "left").withColumn("obs", F.filter("obs", lambda o: o["slot"] < F.col("n")))
+    whole = whole.withColumn("obs", F.when(F.size("obs") > 0, F.col("obs")))
+    ends = whole.where("obs is not null").select(*keys, "shard", F.slice("obs", 1, 2).alias("head"), _last2(F.col("obs")).alias("tail"))
     by_shard = W.partitionBy(*keys).orderBy("shard")
     none = F.slice("head", 1, 0)
     ends = ends.select(
@@ -67,7 +69,7 @@ def regularize(
         _last2(F.concat(F.coalesce(F.lag("tail", 2).over(by_shard), none), F.coalesce(F.lag("tail", 1).over(by_shard), none))).alias("before"),
         F.slice(F.concat(F.coalesce(F.lead("head", 1).over(by_shard), none), F.coalesce(F.lead("head", 2).over(by_shard), none)), 1, 2).alias("after"),
     )
-    whole = shards.join(packed, [*keys, "shard"], "left").join(ends, [*keys, "shard"], "left")
+    whole = whole.join(ends, [*keys, "shard"], "left")
     lo, hi = F.col("shard") * S, F.least(F.col("n"), (F.col("shard") + 1) * S)
     # A shard without readings has no reading in reach: its periods lie in a gap longer than a shard.
     obs = F.when(F.col("obs").isNull(), F.expr("array(named_struct('slot', -1L, 'value', cast(null as double)))")).otherwise(
