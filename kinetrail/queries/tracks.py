@@ -72,8 +72,8 @@ QUERIES = {
 }
 
 POSE = """
-p AS (SELECT session_id, frame, bodypart, max(CASE WHEN x BETWEEN 0.001 AND 2000 THEN x END) AS x, max(CASE WHEN y BETWEEN 0.001 AND 2000 THEN y END) AS y,
-  max(CASE WHEN likelihood BETWEEN 0.001 AND 1 THEN likelihood END) AS likelihood FROM pose_track GROUP BY ALL),
+p AS (SELECT session_id, frame, bodypart, max(CASE WHEN NOT isnan(x) AND x BETWEEN 0.001 AND 2000 THEN x END) AS x, max(CASE WHEN NOT isnan(y) AND y BETWEEN 0.001 AND 2000 THEN y END) AS y,
+  max(CASE WHEN NOT isnan(likelihood) AND likelihood BETWEEN 0.001 AND 1 THEN likelihood END) AS likelihood FROM pose_track GROUP BY ALL),
 se AS (SELECT session_id, arg_max(source, loaded_at) AS source, arg_max_null(CASE WHEN isnan(fps) THEN NULL ELSE fps END, loaded_at) AS fps FROM session_data GROUP BY 1)"""
 BINS = (
     POSE
