@@ -54,15 +54,20 @@ def _before(c: str, k: int, w) -> Column:
     return F.when(F.lag("bin", k).over(w) == F.col("bin") - k, F.lag(c, k).over(w))
 
 
-def velocity(means: DataFrame) -> DataFrame:
-    m, w = _lagged(means, TRACK, 4)
+def kinematics(means: DataFrame) -> DataFrame:
+    """Velocity (distance from the bin before) and acceleration (its change) of every body part, in one pass over the bins."""
+    m, w = _lagged(means, TRACK, 8)
     m = m.withColumn("velocity", F.hypot(F.col("x") - _before("x", 1, w), F.col("y") - _before("y", 1, w)))
-    return home(m).select(*TRACK, "bin", "velocity")
+    m = m.withColumn("acceleration", F.col("velocity") - _before("velocity", 1, w))
+    return home(m).select(*TRACK, "bin", "velocity", "acceleration")
+
+
+def velocity(means: DataFrame) -> DataFrame:
+    return kinematics(means).drop("acceleration")
 
 
-def acceleration(speeds: DataFrame) -> DataFrame:
-    m, w = _lagged(speeds, TRACK, 4)
-    return home(m.withColumn("acceleration", F.col("velocity") - _before("velocity", 1, w))).select(*TRACK, "bin", "acceleration")
+def acceleration(means: DataFrame) -> DataFrame:
+    return kinematics(means).drop("velocity")
 
 
 def variances(b: DataFrame) -> DataFrame:
@@ -93,7 +98,7 @@ def spine_angle(b: DataFrame, chain: tuple[str, str, str]) -> DataFrame:
     ax, ay = F.col("p0.x") - F.col("p1.x"), F.col("p0.y") - F.col("p1.y")
     bx, by = F.col("p2.x") - F.col("p1.x"), F.col("p2.y") - F.col("p1.y")
     cos = (ax * bx + ay * by) / (F.hypot(ax, ay) * F.hypot(bx, by) + 1e-8)
-    f = f.withColumn("angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
+    f = f.withColumn("angle", F.when(cos.isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
     return f.where("angle is not null").groupBy("session_id", "bin").agg(F.avg("angle").alias("angle"))
 
 

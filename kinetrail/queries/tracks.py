@@ -20,11 +20,11 @@ def sessions(spark, d):
 
 
 def r4(df):
-    return df.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def r7(df):
-    return df.select(*[F.round(c, 7).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, 10).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def bins(spark, d):
@@ -57,13 +57,13 @@ QUERIES = {
     "bin_means": lambda s, d: r4(X.bin_means(bins(s, d))),
     "pairwise_distance": lambda s, d: r4(X.pair_distances(bins(s, d))),
     "velocity": lambda s, d: r4(X.velocity(X.bin_means(bins(s, d)))),
-    "acceleration": lambda s, d: r4(X.acceleration(X.velocity(X.bin_means(bins(s, d))))),
+    "acceleration": lambda s, d: r4(X.acceleration(X.bin_means(bins(s, d)))).withColumn("acceleration", F.col("acceleration") + 0.0),
     "within_bin_variance": lambda s, d: r4(X.variances(bins(s, d))),
     "lag_drift": lambda s, d: r4(X.drift(X.bin_means(bins(s, d)), (5, 10, 20))),
     "coarse_bins": lambda s, d: r4(X.coarse(bins(s, d))),
     "spine_angle": lambda s, d: r4(X.spine_angle(bins(s, d), ("nose", "neck", "tailbase"))),
-    "visibility_block": lambda s, d: r4(X.visibility(bins(s, d), HEAD, 0.9)),
-    "adaptive_visibility": lambda s, d: r4(X.adaptive_threshold(pose(s, d))),
+    "visibility_block": lambda s, d: r7(X.visibility(bins(s, d), HEAD, 0.9)),
+    "adaptive_visibility": lambda s, d: r7(X.adaptive_threshold(pose(s, d))),
     "turned_away_windows": lambda s, d: X.turned_away(bins(s, d), HEAD["head"], NOSE, X.adaptive_threshold(pose(s, d), 0.95), share=0.1, least_bins=2),
     "tracking_metrics": lambda s, d: r4(X.tracking_metrics(pose(s, d), sessions(s, d))),
     "session_summary": lambda s, d: r4(
@@ -94,7 +94,7 @@ w2 AS (SELECT *, last_value(gf IGNORE NULLS) OVER w AS bf, last_value(CASE WHEN
 
 
 def _fill(c: str, b: str, a: str) -> str:
-    return f"round(CASE WHEN gf IS NOT NULL THEN {c} WHEN af IS NULL OR bf IS NULL THEN coalesce({b}, {a}) WHEN af - bf - 1 <= 5 THEN {b} + ({a} - {b}) * (frame - bf) / (af - bf) WHEN frame * 2 < af + bf THEN {b} ELSE {a} END, 4) AS {c}"
+    return f"round(CASE WHEN gf IS NOT NULL THEN {c} WHEN af IS NULL OR bf IS NULL THEN coalesce({b}, {a}) WHEN af - bf - 1 <= 5 THEN {b} + ({a} - {b}) * (frame - bf) / (af - bf) WHEN frame * 2 < af + bf THEN {b} ELSE {a} END, 6) AS {c}"
 
 
 TM = """k1 AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM p WINDOW w AS (PARTITION BY session_id, bodypart ORDER BY frame)),
@@ -109,41 +109,41 @@ def _low(t: float) -> str:
 
 
 SQL = {
-    "low_ll_fraction": f"WITH {POSE}, {_low(0.3)} SELECT session_id, bodypart, round(ll_frac, 4) AS ll_frac, n FROM lf",
+    "low_ll_fraction": f"WITH {POSE}, {_low(0.3)} SELECT session_id, bodypart, round(ll_frac, 6) AS ll_frac, n FROM lf",
     "interp_and_flat_hold": f"WITH {POSE}, {_G} SELECT session_id, frame, bodypart, {_fill('x', 'bx', 'ax')}, {_fill('y', 'by_', 'ay')}, coalesce(gf IS NULL AND af IS NOT NULL AND bf IS NOT NULL AND af - bf - 1 > 5, false) AS flat_held FROM w2",
-    "boxcar_smooth": f"WITH {POSE} SELECT session_id, frame, bodypart, round(sum(coalesce(x, 0)) OVER w / 4, 4) AS x, round(sum(coalesce(y, 0)) OVER w / 4, 4) AS y FROM p WINDOW w AS (PARTITION BY session_id, bodypart ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)",
+    "boxcar_smooth": f"WITH {POSE} SELECT session_id, frame, bodypart, round(sum(coalesce(x, 0)) OVER w / 4, 6) AS x, round(sum(coalesce(y, 0)) OVER w / 4, 6) AS y FROM p WINDOW w AS (PARTITION BY session_id, bodypart ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)",
     "confident_runs": f"WITH {POSE}, {RUNS} SELECT * FROM cr",
     "run_median_filter": f"""WITH {POSE}, {RUNS}, j AS (SELECT p.*, start_frame FROM p LEFT JOIN cr ON p.session_id = cr.session_id AND p.bodypart = cr.bodypart AND p.frame BETWEEN start_frame AND start_frame + run_len - 1)
-      SELECT session_id, frame, bodypart, round(CASE WHEN start_frame IS NULL THEN x ELSE median(x) OVER w END, 4) AS x, round(CASE WHEN start_frame IS NULL THEN y ELSE median(y) OVER w END, 4) AS y FROM j
+      SELECT session_id, frame, bodypart, round(CASE WHEN start_frame IS NULL THEN x ELSE median(x) OVER w END, 6) AS x, round(CASE WHEN start_frame IS NULL THEN y ELSE median(y) OVER w END, 6) AS y FROM j
       WINDOW w AS (PARTITION BY session_id, bodypart, start_frame ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
-    "likelihood_gate": f"WITH {POSE} SELECT session_id, frame, bodypart, round(CASE WHEN likelihood < 0.6 THEN 0 ELSE likelihood END, 4) AS likelihood FROM p",
+    "likelihood_gate": f"WITH {POSE} SELECT session_id, frame, bodypart, round(CASE WHEN likelihood < 0.6 THEN 0 ELSE likelihood END, 6) AS likelihood FROM p",
     "fill_mask": "SELECT session_id, cam, frame_idx, CASE WHEN bool_or(coalesce(is_fill, false)) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS likelihood FROM cam_timestamp WHERE frame_idx IS NOT NULL GROUP BY ALL",
-    "likelihood_by_frame": f"WITH {POSE} SELECT session_id, frame, round(min(likelihood), 7) AS least, round(avg(likelihood), 7) AS mean, round(max(likelihood), 7) AS most FROM p GROUP BY ALL",
+    "likelihood_by_frame": f"WITH {POSE} SELECT session_id, frame, round(min(likelihood), 10) AS least, round(avg(likelihood), 10) AS mean, round(max(likelihood), 10) AS most FROM p GROUP BY ALL",
     "bodypart_conservation": f"""WITH {POSE}, m AS (SELECT session_id, bodypart, median(likelihood) AS m FROM p WHERE likelihood IS NOT NULL GROUP BY ALL),
       s AS (SELECT bodypart, count(*) FILTER (m >= 0.3) / (SELECT count(DISTINCT session_id) FROM p) AS share, avg(m) AS mm FROM m GROUP BY 1)
-      SELECT bodypart, round(share, 4) AS share, share >= 0.85 OR row_number() OVER (ORDER BY share DESC, mm DESC, bodypart) <= 6 AS kept FROM s""",
+      SELECT bodypart, round(share, 6) AS share, share >= 0.85 OR row_number() OVER (ORDER BY share DESC, mm DESC, bodypart) <= 6 AS kept FROM s""",
     "bodypart_intersection": f"WITH {POSE}, x AS (SELECT DISTINCT source, session_id, bodypart FROM p JOIN se USING (session_id)), n AS (SELECT source, count(DISTINCT session_id) AS n FROM x GROUP BY 1) SELECT source, bodypart FROM x JOIN n USING (source) GROUP BY source, bodypart, n HAVING count(*) = n",
     "auto_weights": f"""WITH {POSE}, {_low(0.9)}, s AS (SELECT bodypart, avg(CASE WHEN ll_frac > 0.3 THEN 1.0 WHEN ll_frac <= 0.3 THEN 0 END) AS share FROM lf GROUP BY 1)
-      SELECT bodypart, round(share, 4) AS share, round(CASE WHEN bodypart = 'neck' THEN 2 WHEN share <= 0.1 THEN 1 WHEN share >= 0.35 THEN 0.35 ELSE 1 - 0.65 * (share - 0.1) / 0.25 END, 4) AS weight FROM s""",
-    "drop_gate": f"WITH {POSE}, {_low(0.95)} SELECT bodypart, round(avg(ll_frac), 4) AS mean_bad FROM lf GROUP BY 1 HAVING avg(ll_frac) >= 0.3",
-    "bin_means": f"WITH {BINS} SELECT session_id, bodypart, bin, round(x, 4) AS x, round(y, 4) AS y FROM bm",
-    "pairwise_distance": f"WITH {BINS} SELECT a.session_id, a.bin, a.bodypart AS part_a, b.bodypart AS part_b, round(avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 4) AS dist FROM q a JOIN q b ON a.session_id = b.session_id AND a.frame = b.frame AND a.bodypart < b.bodypart WHERE a.x IS NOT NULL AND a.y IS NOT NULL AND b.x IS NOT NULL AND b.y IS NOT NULL GROUP BY ALL",
-    "velocity": f"WITH {BINS} SELECT session_id, bodypart, bin, round(velocity, 4) AS velocity FROM v",
-    "acceleration": f"WITH {BINS} SELECT session_id, bodypart, bin, round(CASE WHEN lag(bin) OVER w = bin - 1 THEN velocity - lag(velocity) OVER w END, 4) AS acceleration FROM v WINDOW w AS (PARTITION BY session_id, bodypart ORDER BY bin)",
-    "within_bin_variance": f"WITH {BINS} SELECT session_id, bodypart, bin, round(var_pop(x), 4) AS var_x, round(var_pop(y), 4) AS var_y FROM q GROUP BY ALL",
+      SELECT bodypart, round(share, 6) AS share, round(CASE WHEN bodypart = 'neck' THEN 2 WHEN share <= 0.1 THEN 1 WHEN share >= 0.35 THEN 0.35 ELSE 1 - 0.65 * (share - 0.1) / 0.25 END, 6) AS weight FROM s""",
+    "drop_gate": f"WITH {POSE}, {_low(0.95)} SELECT bodypart, round(avg(ll_frac), 6) AS mean_bad FROM lf GROUP BY 1 HAVING avg(ll_frac) >= 0.3",
+    "bin_means": f"WITH {BINS} SELECT session_id, bodypart, bin, round(x, 6) AS x, round(y, 6) AS y FROM bm",
+    "pairwise_distance": f"WITH {BINS} SELECT a.session_id, a.bin, a.bodypart AS part_a, b.bodypart AS part_b, round(avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 6) AS dist FROM q a JOIN q b ON a.session_id = b.session_id AND a.frame = b.frame AND a.bodypart < b.bodypart WHERE a.x IS NOT NULL AND a.y IS NOT NULL AND b.x IS NOT NULL AND b.y IS NOT NULL GROUP BY ALL",
+    "velocity": f"WITH {BINS} SELECT session_id, bodypart, bin, round(velocity, 6) AS velocity FROM v",
+    "acceleration": f"WITH {BINS} SELECT session_id, bodypart, bin, round(CASE WHEN lag(bin) OVER w = bin - 1 THEN velocity - lag(velocity) OVER w END, 6) + 0.0 AS acceleration FROM v WINDOW w AS (PARTITION BY session_id, bodypart ORDER BY bin)",
+    "within_bin_variance": f"WITH {BINS} SELECT session_id, bodypart, bin, round(var_pop(x), 6) AS var_x, round(var_pop(y), 6) AS var_y FROM q GROUP BY ALL",
     "lag_drift": f"""WITH {BINS}, c AS (SELECT session_id, bin, avg(x) AS x, avg(y) AS y FROM bm GROUP BY ALL)
-      SELECT session_id, bin, {', '.join(f'round(CASE WHEN lag(bin, {k}) OVER w = bin - {k} THEN sqrt(pow(x - lag(x, {k}) OVER w, 2) + pow(y - lag(y, {k}) OVER w, 2)) END, 4) AS drift_{k}' for k in (5, 10, 20))} FROM c WINDOW w AS (PARTITION BY session_id ORDER BY bin)""",
-    "coarse_bins": f"WITH {BINS}, w AS (SELECT session_id, bodypart, bin // 2 AS wide, avg(x) AS x, avg(y) AS y FROM q GROUP BY ALL) SELECT f.session_id, f.bodypart, f.bin, round(w.x, 4) AS x, round(w.y, 4) AS y FROM (SELECT DISTINCT session_id, bodypart, bin FROM q) f JOIN w ON f.session_id = w.session_id AND f.bodypart = w.bodypart AND f.bin // 2 = w.wide",
+      SELECT session_id, bin, {', '.join(f'round(CASE WHEN lag(bin, {k}) OVER w = bin - {k} THEN sqrt(pow(x - lag(x, {k}) OVER w, 2) + pow(y - lag(y, {k}) OVER w, 2)) END, 6) AS drift_{k}' for k in (5, 10, 20))} FROM c WINDOW w AS (PARTITION BY session_id ORDER BY bin)""",
+    "coarse_bins": f"WITH {BINS}, w AS (SELECT session_id, bodypart, bin // 2 AS wide, avg(x) AS x, avg(y) AS y FROM q GROUP BY ALL) SELECT f.session_id, f.bodypart, f.bin, round(w.x, 6) AS x, round(w.y, 6) AS y FROM (SELECT DISTINCT session_id, bodypart, bin FROM q) f JOIN w ON f.session_id = w.session_id AND f.bodypart = w.bodypart AND f.bin // 2 = w.wide",
     "spine_angle": f"""WITH {BINS}, g AS (SELECT * FROM q WHERE x IS NOT NULL AND y IS NOT NULL), a AS (SELECT a.session_id, a.bin, a.x - b.x AS ax, a.y - b.y AS ay, c.x - b.x AS bx, c.y - b.y AS by_ FROM g a JOIN g b ON a.session_id = b.session_id AND a.frame = b.frame AND b.bodypart = 'neck'
       JOIN g c ON a.session_id = c.session_id AND a.frame = c.frame AND c.bodypart = 'tailbase' WHERE a.bodypart = 'nose')
-      SELECT session_id, bin, round(avg(acos(greatest(-1, least(1, (ax * bx + ay * by_) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_) + 1e-8))))), 4) AS angle FROM a GROUP BY ALL""",
-    "visibility_block": f"""WITH {BINS}, l AS (SELECT *, CASE WHEN likelihood < 0.9 THEN 1.0 WHEN likelihood >= 0.9 THEN 0 END AS low FROM q) SELECT session_id, bin, round(avg(likelihood), 4) AS mean_visibility, round(avg(low), 4) AS frac_low_conf,
-      round(avg(low) FILTER (bodypart IN ({_HEADS})), 4) AS low_head, round(avg(low) FILTER (bodypart IN ({_TAILS})), 4) AS low_tail FROM l GROUP BY ALL""",
-    "adaptive_visibility": f"WITH {POSE} SELECT session_id, bodypart, round(greatest(0.3, quantile_cont(likelihood, 0.1)), 4) AS threshold FROM p WHERE likelihood IS NOT NULL GROUP BY ALL",
+      SELECT session_id, bin, round(avg(acos(greatest(-1, least(1, (ax * bx + ay * by_) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_) + 1e-8))))), 6) AS angle FROM a GROUP BY ALL""",
+    "visibility_block": f"""WITH {BINS}, l AS (SELECT *, CASE WHEN likelihood < 0.9 THEN 1.0 WHEN likelihood >= 0.9 THEN 0 END AS low FROM q) SELECT session_id, bin, round(avg(likelihood), 10) AS mean_visibility, round(avg(low), 10) AS frac_low_conf,
+      round(avg(low) FILTER (bodypart IN ({_HEADS})), 10) AS low_head, round(avg(low) FILTER (bodypart IN ({_TAILS})), 10) AS low_tail FROM l GROUP BY ALL""",
+    "adaptive_visibility": f"WITH {POSE} SELECT session_id, bodypart, round(greatest(0.3, quantile_cont(likelihood, 0.1)), 10) AS threshold FROM p WHERE likelihood IS NOT NULL GROUP BY ALL",
     "turned_away_windows": f"""WITH {BINS}, th AS (SELECT session_id, max(t) AS threshold FROM (SELECT session_id, bodypart, greatest(0.95, quantile_cont(likelihood, 0.1)) AS t FROM p WHERE likelihood IS NOT NULL AND bodypart IN ('nose', 'snout') GROUP BY ALL) GROUP BY 1),
       l AS (SELECT session_id, bin, avg(CASE WHEN likelihood < 0.3 THEN 1.0 WHEN likelihood >= 0.3 THEN 0 END) FILTER (bodypart IN ({_HEADS})) AS hl, avg(likelihood) FILTER (bodypart IN ('nose', 'snout')) AS nl FROM q GROUP BY ALL),
       a AS (SELECT session_id, bin FROM l JOIN th USING (session_id) WHERE hl >= 0.1 AND nl < threshold), i AS (SELECT *, CASE WHEN bin - lag(bin) OVER w <= 6 THEN 0 ELSE 1 END AS s FROM a WINDOW w AS (PARTITION BY session_id ORDER BY bin)),
       g AS (SELECT *, sum(s) OVER (PARTITION BY session_id ORDER BY bin) AS g FROM i) SELECT session_id, min(bin) AS start_bin, max(bin) - min(bin) + 1 AS n_bins FROM g GROUP BY session_id, g HAVING max(bin) - min(bin) + 1 >= 2""",
-    "tracking_metrics": f"WITH {POSE}, {TM} SELECT session_id, bodypart, COLUMNS(c -> c NOT IN ('session_id', 'bodypart')) FROM (SELECT session_id, bodypart, {', '.join(f'round({c}, 4) AS {c}' for c in ('mean_velocity', 'std_velocity', 'cv_velocity', 'mean_jitter', 'std_x', 'std_y', 'bbox_area', 'mean_likelihood', 'interp_rate'))} FROM tm)",
-    "session_summary": f"WITH {POSE}, {TM} SELECT session_id, {', '.join(f'round(avg({c}), 4) AS {c}' for c in ('mean_velocity', 'mean_jitter', 'bbox_area', 'mean_likelihood', 'interp_rate'))} FROM tm GROUP BY 1",
+    "tracking_metrics": f"WITH {POSE}, {TM} SELECT session_id, bodypart, {', '.join(f'round({c}, 6) AS {c}' for c in ('mean_velocity', 'std_velocity', 'cv_velocity', 'mean_jitter', 'std_x', 'std_y', 'bbox_area', 'mean_likelihood', 'interp_rate'))} FROM tm",
+    "session_summary": f"WITH {POSE}, {TM} SELECT session_id, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('mean_velocity', 'mean_jitter', 'bbox_area', 'mean_likelihood', 'interp_rate'))} FROM tm GROUP BY 1",
 }
