@@ -73,7 +73,7 @@ def canonical(name: str, landmarks: dict[tuple[str, ...], str]) -> str | None:
     """What a field stands for: ``part:<landmark>``, a column of ``SYNONYMS``, or None when the name is not known.
     Individual prefixes such as ``animal1`` are left out."""
     t = tokens(name)
-    while len(t) > 1 and re.fullmatch(r"(animal|mouse|rat|subject|individual|ind|cube|bp|kp|pt|dlc)\d*", t[0]):
+    while len(t) > 1 and re.fullmatch(r"(animal|mouse|rat|subject|individual|ind|bp|kp|pt)\d*", t[0]):
         t = t[1:]
     plain = "".join(t)
     if plain in _SYNONYM:

@@ -135,7 +135,7 @@ def test_enrich(spark):
     assert (d.straightness_ratio, d.net_displacement, d.path_length, d.heading_consistency) == (1.0, 99.0, 99.0, 1.0)
     assert d.mean_speed == pytest.approx(99 / (100 / 30))
     assert enrich.directedness(b(spark, [(0, 0, 3)]), pts, 30.0).first().straightness_ratio is None
-    f = spark.createDataFrame([("f1", "cam_a_20240101_101010"), ("f2", "mouse1DLC"), ("f3", "same"), ("f4", "none")], "path string, stem string")
+    f = spark.createDataFrame([("f1", "cam_a_20240101_101010"), ("f2", "mouse1_track"), ("f3", "same"), ("f4", "none")], "path string, stem string")
     v = spark.createDataFrame([("v1", "other_20240101_101010"), ("v2", "mouse1"), ("v3", "same"), ("v4", "mouse")], "path string, stem string")
     assert {r.path: r.video for r in enrich.pair_files(f, v).collect()} == {"f1": "v1", "f2": "v2", "f3": "v3", "f4": None}
 
