@@ -246,6 +246,8 @@ def schema_changes(records: DataFrame, files: DataFrame, reference: list[tuple[s
     both = now.join(before, ["file_id", "field"], "full").where("a is null or b is null or a.type <> b.type")
     retyped = both.where("a is not null and b is not null").selectExpr("file_id", "field", "'retyped' as change", "cast(null as string) as old_field", "a.type as old_type", "b.type as new_type")
     loose = both.where("a is null or b is null").selectExpr("file_id", "field", "if(a is null, 'added', 'removed') as side", "coalesce(a, b) as t").select("file_id", "field", "side", "t.*")
+    # matching is slow for its few bytes: a fixed number of partitions, which the adaptive planner leaves apart
+    loose = loose.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
     matched = loose.groupBy("file_id").applyInPandas(_matcher(_landmarks(reference)), "file_id bigint, field string, change string, old_field string")
     return matched.selectExpr("*", "cast(null as string) as old_type", "cast(null as string) as new_type").unionByName(retyped)
 
