@@ -8,8 +8,10 @@
    by that bound; crowded cells are split along further directions. Each cell links its leaders locally.
 3. Local clusters are merged through the leaders (core points) they share. Leaders that miss body parts meet the others
    in cells of their own, one set per pattern of parts known in both.
-4. Members within half the allowed distance of their cluster's medoid are alike to each other by the triangle inequality;
-   only clusters where that doesn't hold are divided by an exact check.
+4. Members within half the allowed distance of their cluster's pivot, the leader of its largest ball, are alike to each other
+   by the triangle inequality; only clusters where that doesn't hold are divided by an exact check.
+5. The representative of a final cluster is its medoid, the member of the least mean distance to all members. In large clusters
+   sums over the members bound that mean from below, and only those that the bound can't rule out are compared with all.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ BALL = 1.5
 #: Directions of a cell, further ones for crowded cells, and the leaders from which a cell is crowded.
 DIMS, MORE_DIMS, CROWDED = 6, 4, 2000
 TYPICAL = 3
+#: Members up to which all of a cluster are candidates for its medoid, first candidates of a larger one, and rows of a block.
+SMALL, FIRST, BLOCK = 1024, 16, 4096
 
 
 def _complex(xy: list, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +249,7 @@ def _member_links(parts: int, limit: float):
 
 
 def _divide(parts: int, limit: float):
-    """Exact check at the edge of a cluster that is too wide. ``d``: distance to the medoid. The members within half the limit
+    """Exact check at the edge of a cluster that is too wide. ``d``: distance to the pivot. The members within half the limit
     are alike to each other; of those, the ones near their edge came along. Farther members, nearest first, stay (part 0)
     when alike to all of these and to those that stayed; the rest form parts of their own in the same way around the smallest
     id left."""
@@ -278,7 +282,7 @@ def _divide(parts: int, limit: float):
 
 def cluster_postures(snaps: DataFrame, parts: int, *, limit: float = ALIKE) -> DataFrame:
     """``snaps``: snap_id, xy of 2 x ``parts`` values, null where unknown. Returns snap_id, cluster_id (the smallest snap_id of
-    the cluster) and dist, the aligned distance to the cluster's medoid; snapshots alike to no other don't come out.
+    the cluster) and dist, the aligned distance to the pivot it was proved with; snapshots alike to no other don't come out.
 
     Null ids, null arrays, arrays of another length and postures of fewer than two known parts are alike to nothing. Rows
     with the same snap_id count once. Two gathered groups whose leaders are further apart than ``limit`` and whose members
@@ -329,14 +333,14 @@ def cluster_postures(snaps: DataFrame, parts: int, *, limit: float = ALIKE) -> D
     asked = asked.mapInPandas(_member_links(parts, limit), "leader bigint, one bigint, d double").where(F.col("d") <= limit).select(F.col("leader").alias("a"), F.col("one").alias("b"))
     comps = connected_components(links.where("not maybe").select("a", "b").unionByName(asked)).withColumnRenamed("node", "leader")
     grouped = cut(members.join(comps, "leader", "left").withColumn("component", F.coalesce("component", "leader")).drop("dist"))
-    # 4: medoid by the cluster's mean distance vector among its leaders, and the proof by its radius
+    # 4: pivot, the leader of the largest ball, and the proof by the radius around it
     sizes = grouped.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    medoid = leaders.join(comps, "leader", "left").withColumn("component", F.coalesce("component", "leader")).join(balls, "leader")
+    pivot = leaders.join(comps, "leader", "left").withColumn("component", F.coalesce("component", "leader")).join(balls, "leader")
     complete = (known == parts).cast("int")
-    medoid = medoid.groupBy("component").agg(F.max_by("xy", F.struct(complete, F.col("n"), (-F.col("leader")).alias("i"))).alias("xy_b")).join(sizes.select("component"), "component")
-    near = join_dim(grouped.select("snap_id", "component", F.col("xy").alias("xy_a")), medoid, ["component"], "inner")
+    pivot = pivot.groupBy("component").agg(F.max_by("xy", F.struct(complete, F.col("n"), (-F.col("leader")).alias("i"))).alias("xy_b")).join(sizes.select("component"), "component")
+    near = join_dim(grouped.select("snap_id", "component", F.col("xy").alias("xy_a")), pivot, ["component"], "inner")
     near = cut(near.mapInPandas(_member_links(parts, limit), "component bigint, snap_id bigint, d double"))
-    # members within half the limit of the medoid are alike to each other, so only what lies beyond takes an exact check
+    # members within half the limit of the pivot are alike to each other, so only what lies beyond takes an exact check
     top = near.groupBy("component").agg(F.max("d").alias("r"))
     wide = cut(top.where(F.col("r") > limit / 2))
     if wide.isEmpty():
@@ -356,6 +360,139 @@ def cluster_postures(snaps: DataFrame, parts: int, *, limit: float = ALIKE) -> D
     return parted.join(first, ["component", "part"]).select("snap_id", "cluster_id", F.col("d").alias("dist"))
 
 
+def _offsets(xy: list, pivot: list, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Complete postures turned to the first pivot: offsets from it, of which the squared difference of two is at least their
+    squared aligned distance; the length along the pivot; and the squared length across it."""
+    z, p = (_centre(*_complex(v, parts)) for v in (xy, pivot[:1]))
+    along = z @ p[0].conj()
+    z = z * np.exp(-1j * np.angle(along))[:, None]
+    a = np.abs(along) / max(np.linalg.norm(p[0]), 1e-12)
+    y = (z - p) / np.sqrt(parts)
+    return np.c_[y.real, y.imag], a, np.maximum(0, (np.abs(z) ** 2).sum(1) - a**2)
+
+
+def _moments(parts: int):
+    """Sums over the complete members of each cluster of a batch, from which mean squares and fourth powers follow."""
+
+    def run(batches):
+        for pdf in batches:
+            for cluster, p in pdf.groupby("cluster_id"):
+                y, a, b = _offsets(p["xy"].tolist(), p["pivot"].tolist(), parts)
+                q = (y**2).sum(1)
+                yield pd.DataFrame({"cluster_id": [cluster], "sums": [np.r_[len(y), q.sum(), (q**2).sum(), y.sum(0), q @ y, (y.T @ y).ravel()]], "least": [a.min()], "most": [b.max()]})
+
+    return run
+
+
+def _add_moments(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[:1], "sums": [np.sum(np.stack(pdf["sums"].to_list()), axis=0)], "least": [pdf["least"].min()], "most": [pdf["most"].max()]})
+
+
+def lower_mean(y: np.ndarray, a: np.ndarray, b: np.ndarray, sums: np.ndarray, least: float, most: float, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower bound of the sum of aligned distances to the members in ``sums``, and the mean squared difference of offsets.
+
+    By Hoelder's inequality the mean of d is at least (mean of d^2)^1.5 / (mean of d^4)^0.5. The offsets' squared difference
+    exceeds d^2 by at most b * most / (parts * the least product along the pivot)."""
+    k = y.shape[1]
+    n, s2, s4, v, w, m = sums[0], sums[1], sums[2], sums[3 : 3 + k], sums[3 + k : 3 + 2 * k], sums[3 + 2 * k :].reshape(k, k)
+    q = (y**2).sum(1)
+    square = np.maximum(0, q + (s2 - 2 * y @ v) / n)
+    fourth = np.maximum(1e-12, q**2 + (s4 + 4 * np.einsum("ij,jk,ik->i", y, m, y) + 2 * q * s2 - 4 * q * (y @ v) - 4 * y @ w) / n)
+    product = a * least - np.sqrt(b * most)
+    over = np.where(product > 0, b * most / (parts * np.maximum(product, 1e-12)), np.inf)
+    return n * np.maximum(0, square - over) ** 1.5 / np.sqrt(fourth), square
+
+
+def _bound(parts: int):
+    def run(batches):
+        for pdf in batches:
+            for cluster, p in pdf.groupby("cluster_id"):
+                y, a, b = _offsets(p["xy"].tolist(), p["pivot"].tolist(), parts)
+                low, square = lower_mean(y, a, b, np.asarray(p["sums"].iloc[0]), p["least"].iloc[0], p["most"].iloc[0], parts)
+                yield pd.DataFrame({"cluster_id": cluster, "snap_id": p["snap_id"].to_numpy(), "low": low, "square": square})
+
+    return run
+
+
+def _totals(parts: int):
+    """Sums of the aligned distances of a block of candidates to a block of members."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        z, known = _complex(left["xy"].tolist(), parts)
+        z2, known2 = _complex(right["xy"].tolist(), parts)
+        z, z2 = _centre(z, known), _centre(z2, known2)
+        whole, whole2 = known.all(1), known2.all(1)
+        total = np.zeros(len(z))
+        r = z2[whole2]
+        side, turn, r2 = np.c_[r.real, r.imag].T, np.c_[r.imag, -r.real].T, (np.abs(r) ** 2).sum(1)
+        for a in range(0, len(z), 256):
+            k = np.arange(a, min(a + 256, len(z)))
+            full, part = k[whole[k]], k[~whole[k]]
+            x = np.c_[z[full].real, z[full].imag]
+            d = (x**2).sum(1)[:, None] + r2 - 2 * np.sqrt((x @ side) ** 2 + (x @ turn) ** 2)
+            total[full] = np.sqrt(np.maximum(0, d) / parts).sum(1) + aligned(z[full], known[full], z2[~whole2], known2[~whole2]).sum(1)
+            total[part] = aligned(z[part], known[part], z2, known2).sum(1)
+        return pd.DataFrame({"cluster_id": left["cluster_id"], "snap_id": left["snap_id"], "total": total})
+
+    return run
+
+
+def _total_distance(candidates: DataFrame, members: DataFrame, parts: int) -> DataFrame:
+    """cluster_id, snap_id, total: the sum of aligned distances of each candidate to all members of its cluster; in pairs of
+    blocks, so that no task holds a cluster."""
+    blocks = lambda d, c: d.groupBy("cluster_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
+    count = cut(blocks(candidates, "p").join(blocks(members, "q"), "cluster_id"))
+
+    def spread(d: DataFrame, own: str, other: str) -> DataFrame:
+        d = join_dim(d.select(*[F.col(c).alias(c) for c in ("cluster_id", "snap_id", "xy")]), count, ["cluster_id"], "inner")
+        return d.withColumn(own, F.pmod(F.xxhash64("snap_id"), F.col(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+    keys = ["cluster_id", "p", "q"]
+    # slow for its few bytes: a fixed number of partitions, which the adaptive planner leaves apart
+    wide = max(12, int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left, right = (d.repartition(wide, *keys).groupBy(*keys) for d in (spread(candidates, "p", "q"), spread(members, "q", "p")))
+    pair = left.cogroup(right).applyInPandas(lambda a, b: _totals(parts)(a, b) if len(a) else pd.DataFrame({"cluster_id": [], "snap_id": [], "total": []}), "cluster_id bigint, snap_id bigint, total double")
+    return pair.groupBy("cluster_id", "snap_id").agg(F.sum("total").alias("total"))
+
+
+def _least(d: DataFrame, key, k: int) -> DataFrame:
+    """cluster_id, near: the k smallest keys of each cluster; of each salt first, so that no task gathers a huge cluster."""
+    part = d.withColumn("salt", F.pmod(F.xxhash64("snap_id"), F.lit(4096))).groupBy("cluster_id", "salt").agg(F.slice(F.sort_array(F.collect_list(key)), 1, k).alias("near"))
+    return part.groupBy("cluster_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
+def medoids(clusters: DataFrame, snaps: DataFrame, parts: int, *, small: int = SMALL) -> DataFrame:
+    """cluster_id, snap_id, dist of every member of ``clusters`` (snap_id, cluster_id): the aligned distance to its cluster's
+    medoid, the member with the least mean aligned distance to all members, ties by the smallest snap_id.
+
+    Clusters of more than ``small``: the exact mean of the ``FIRST`` complete members nearest to all in the mean square is to be
+    beaten; complete members whose lower bound exceeds it are out, all others are compared with every member.
+    """
+    rows = snaps.where("snap_id is not null").select("snap_id", "xy").dropDuplicates(["snap_id"])
+    rows = cut(clusters.select("snap_id", "cluster_id").join(rows, "snap_id"))
+    complete = ~F.exists("xy", lambda v: v.isNull() | F.isnan(v))
+    sizes = cut(rows.groupBy("cluster_id").agg(F.count("*").alias("n"), F.max_by("xy", F.struct(complete.cast("int"), -F.col("snap_id"))).alias("pivot")))
+    few = join_dim(rows, sizes.where(F.col("n") <= small).select("cluster_id"), ["cluster_id"], "left_semi")
+    many = sizes.where(F.col("n") > small).select("cluster_id", "pivot")
+    candidates = few
+    if not many.isEmpty():
+        large = cut(join_dim(rows, many, ["cluster_id"], "inner"))
+        whole = large.where(complete)
+        kind = "cluster_id bigint, sums array<double>, least double, most double"
+        sums = cut(whole.select("cluster_id", "xy", "pivot").mapInPandas(_moments(parts), kind).groupBy("cluster_id").applyInPandas(_add_moments, kind))
+        bound = cut(join_dim(whole, sums, ["cluster_id"], "inner").select("cluster_id", "snap_id", "xy", "pivot", "sums", "least", "most").mapInPandas(_bound(parts), "cluster_id bigint, snap_id bigint, low double, square double"))
+        first = _least(bound, F.struct("square", "snap_id"), FIRST).select("cluster_id", F.explode("near.snap_id").alias("snap_id"))
+        members = large.select("cluster_id", "snap_id", "xy")
+        best = cut(_total_distance(members.join(first, ["cluster_id", "snap_id"], "left_semi"), members, parts).groupBy("cluster_id").agg(F.min("total").alias("best")))
+        out = join_dim(bound, best, ["cluster_id"], "inner").where(F.col("low") > F.col("best") * (1 + 1e-9)).select("cluster_id", "snap_id")
+        candidates = few.select("cluster_id", "snap_id", "xy").unionByName(members.join(out, ["cluster_id", "snap_id"], "left_anti"))
+    totals = _total_distance(cut(candidates.select("cluster_id", "snap_id", "xy")), rows, parts)
+    chosen = totals.groupBy("cluster_id").agg(F.min(F.struct(F.round("total", 6), "snap_id")).alias("m")).select("cluster_id", F.col("m.snap_id").alias("snap_id"))
+    chosen = cut(rows.join(chosen, ["cluster_id", "snap_id"]).select("cluster_id", F.col("xy").alias("xy_b")))
+    near = join_dim(rows.select("cluster_id", "snap_id", F.col("xy").alias("xy_a")), chosen, ["cluster_id"], "inner")
+    return near.mapInPandas(_member_links(parts, ALIKE), "cluster_id bigint, snap_id bigint, d double").withColumnRenamed("d", "dist")
+
+
 def snapshots(spark, sf_dir: str) -> DataFrame:
     """snap_id, xy with null for values that are missing, NaN or their source's sentinel."""
     dim = sessions(spark, sf_dir).select("session_id", F.coalesce("source", F.lit("")).alias("scope"))
@@ -373,7 +510,8 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 
 def p2_clusters(spark, sf_dir: str) -> DataFrame:
     """Each cluster with its size, its ``TYPICAL`` most typical snapshots and the mean and largest distance to the medoid."""
-    c = cluster_postures(snapshots(spark, sf_dir), 10)
+    snaps = cut(snapshots(spark, sf_dir))
+    c = cut(medoids(cluster_postures(snaps, 10), snaps, 10))
     key = F.struct("dist", "snap_id")
     # the nearest few of each salt first, so that a huge cluster is never gathered in one task
     part = c.withColumn("salt", F.pmod(F.xxhash64("snap_id"), F.lit(4096))).groupBy("cluster_id", "salt").agg(

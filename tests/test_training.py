@@ -209,3 +209,37 @@ def test_chain_is_divided(spark):
     assert d[0, 1] <= 4 < d[0, 2]
     assert got[1] == got[4] == 1  # each cluster's members are all alike to each other
     assert got.get(3) != 1
+
+
+def test_medoids_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    shapes = [rng.uniform(-80, 80, (6, 2)) for _ in range(3)]
+    rows = []
+    for i in range(460):
+        k = 0 if i < 400 else 1 if i < 458 else 2
+        p = turned(rng, shapes[k], 0.2 + 0.8 * rng.random() if k < 2 else 0).ravel().tolist()
+        if i % 23 == 7:
+            p[2 * (i % 6)] = None
+        rows.append((i + 1, p, k))
+    df = spark.createDataFrame(rows, "snap_id bigint, xy array<double>, cluster_id bigint").repartition(3)
+    z, known = postures._complex([r[1] for r in rows], 6)
+    z = postures._centre(z, known)
+    kind = np.array([r[2] for r in rows])
+    for small in (10, 1000):
+        got = {(r.cluster_id, r.snap_id): r.dist for r in postures.medoids(df.select("snap_id", "cluster_id"), df, 6, small=small).collect()}
+        assert len(got) == len(rows)
+        for k in range(3):
+            at = np.flatnonzero(kind == k)
+            d = postures.aligned(z[at], known[at], z[at], known[at])
+            m = min(range(len(at)), key=lambda i, d=d: (round(d[i].sum(), 6), i))
+            assert all(math.isclose(got[(k, int(a) + 1)], d[j, m], abs_tol=1e-5) for j, a in enumerate(at))
+            assert d[m].sum() < d[0].sum() or k == 2
+    # the bound stays below the exact sum and rules some out
+    at = np.flatnonzero((kind == 0) & known.all(1))
+    xy = [rows[i][1] for i in at]
+    y, a, b = postures._offsets(xy, xy, 6)
+    q = (y**2).sum(1)
+    low, _ = postures.lower_mean(y, a, b, np.r_[len(y), q.sum(), (q**2).sum(), y.sum(0), q @ y, (y.T @ y).ravel()], a.min(), b.max(), 6)
+    exact = postures.aligned(z[at], known[at], z[at], known[at]).sum(1)
+    assert (low <= exact + 1e-6).all() and (low > exact.min()).any()
+    assert postures.medoids(df.select("snap_id", "cluster_id").limit(0), df, 6).count() == 0
