@@ -1,9 +1,10 @@
 """Schemas that drift between files: one consistent table of all records, and a report of every change.
 
-Each file's schema is a small graph (fields, their name tokens, types, nested names and typical values). Only what differs
-between a file and the one before it in its feed is matched, by similarity flooding: scores of field pairs and of the pairs
-of nodes they point to reinforce each other along equally labelled edges until they converge; mutual best pairs with enough
-evidence of their own are renames, and the rest is added or removed. The work per pair of files is bounded by their fields.
+Each file's schema is a small graph (fields, their name tokens, types, nested names, typical values and places in the list of
+body parts). What differs between a file and the one before it in its feed is matched by similarity flooding, with the fields
+that both have as anchors: names and the lists of synonyms give the initial similarity, scores of field pairs and of the nodes
+they point to reinforce each other until they converge, and pairs are renames by that score, best first; the rest is added or
+removed. Two names that the lists know as different things are no pair. The work per pair of files is bounded by their fields.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ LANDMARK_WORDS = {
     "tailbase": ["tail base", "tail root", "tail start"],
     "tail_tip": ["tail tip", "tail end"],
 }
-#: A pair of fields needs this much evidence of its own to be a rename.
+#: A pair of fields needs this score after flooding to be a rename.
 LEAST = 0.5
 ROUNDS, CONVERGED = 50, 1e-4
 
@@ -108,42 +109,68 @@ def _own_evidence(a: dict, b: dict) -> float:
     return max(name, 0.8 if telling else 0.0)
 
 
-def flood(left: list[dict], right: list[dict]) -> np.ndarray:
-    """Similarity of every field of ``left`` with every field of ``right`` after flooding, largest 1."""
+def _listed(fields: list[dict]) -> list[str]:
+    """Names in the list of body parts of a file, in order."""
+    text = next((f["lo"] for f in fields if f["canon"] == "bodyparts" and f["lo"] and f["lo"] == f["hi"]), "")
+    return [x.split(":")[0].strip() for x in re.sub(r'[\[\]{}"]', "", text).split(",") if x.strip()]
+
+
+def flood(left: list[dict], right: list[dict], was: list[dict] = (), now: list[dict] = ()) -> np.ndarray:
+    """Similarity of every field of ``left`` with every field of ``right`` after flooding, 0 to 1: the mean of the initial
+    similarity and of what flows in from the nodes around. ``was`` and ``now`` are the fields both files have, as they are in
+    each; a node that they share too tells less."""
     own = np.array([[_own_evidence(a, b) for b in right] for a in left]).reshape(len(left), len(right))
-    score = own.copy()
-    parts = []
-    for label in ("tokens", "types", "children", "values"):
-        na, nb = sorted({x for a in left for x in a[label]}), sorted({x for b in right for x in b[label]})
-        if not na or not nb:
-            continue
-        A = np.array([[float(x in a[label]) for x in na] for a in left])
-        B = np.array([[float(x in b[label]) for x in nb] for b in right])
-        start = np.array([[1.0 if x == y else 0.0 for y in nb] for x in na])
-        # the coefficient of an edge is shared among the edges of its label at the node it leaves
-        down = lambda s, A=A, B=B: (A / np.maximum(A.sum(1, keepdims=True), 1)).T @ s @ (B / np.maximum(B.sum(1, keepdims=True), 1))
-        up = lambda n, A=A, B=B: (A / np.maximum(A.sum(0, keepdims=True), 1)) @ n @ (B / np.maximum(B.sum(0, keepdims=True), 1)).T
-        parts.append([start, start.copy(), down, up])
+    apart = np.array([[bool(a["canon"] and b["canon"] and a["canon"] != b["canon"]) for b in right] for a in left]).reshape(own.shape)
+    kind = np.array([[a["kind"] + b["kind"] for b in right] for a in left])
+    degree = lambda x, label: max(sum(x in f[label] for f in [*left, *was]), sum(x in f[label] for f in [*right, *now]), 1)
+    alike = lambda a, b, label: sum(1 / degree(x, label) for x in set(a[label]) & set(b[label])) / max(1, len(set(a[label]) | set(b[label])))
+    same = np.array([[float(a["type"] == b["type"]) for b in right] for a in left])
+    # values of plain fields; booleans have the same ones everywhere
+    values = np.array([[0.0 if "boolean" in (a["type"], b["type"]) else alike(a, b, "values") for b in right] for a in left])
+    shape = np.array([[len(set(a["children"]) & set(b["children"])) / len(set(a["children"]) | set(b["children"])) if a["children"] or b["children"] else 1.0 for b in right] for a in left])
+    # readings of a body part: the place in the list of body parts, or else whether few others could be meant
+    free = (kind == "nestednested") & ~apart
+    few = 1 / np.maximum(1, np.maximum(free.sum(1)[:, None], free.sum(0)[None]))
+    old, new_ = _listed([*left, *was]), _listed([*right, *now])
+    row, col = {f["field"]: i for i, f in enumerate(left)}, {f["field"]: j for j, f in enumerate(right)}
+
+    def beside(x: str | None, y: str | None, score: np.ndarray) -> float:
+        return 1.0 if x == y else float(score[row[x], col[y]]) if x in row and y in col else 0.0
+
+    def places(score: np.ndarray) -> np.ndarray:
+        out = few.copy()
+        for x in set(old) & set(row):
+            for y in set(new_) & set(col):
+                p, q, o, n = old.index(x) + 1, new_.index(y) + 1, [None, *old, None], [None, *new_, None]
+                out[row[x], col[y]] = (beside(o[p - 1], n[q - 1], score) + beside(o[p + 1], n[q + 1], score)) / 2
+        return out
+
+    na, nb = sorted({x for f in left for x in f["tokens"]}), sorted({x for f in right for x in f["tokens"]})
+    A, B = (np.array([[float(x in f["tokens"]) for x in n] for f in fs]).reshape(len(fs), len(n)) for n, fs in ((na, left), (nb, right)))
+    equal = np.array([[float(x == y) for y in nb] for x in na]).reshape(len(na), len(nb))
+    among = np.maximum([degree(x, "tokens") for x in na], 1)[:, None] if na else np.ones((0, 1))
+    beside_ = np.array([degree(y, "tokens") for y in nb])[None] if nb else np.ones((1, 0))
+    score = np.where(apart, 0.0, own)
     for _ in range(ROUNDS):
-        flow = sum((up(n) for _, n, _, up in parts), np.zeros_like(score))
-        new = own + score + flow
-        for p in parts:
-            p[1] = p[0] + p[1] + p[2](score)
-            p[1] /= max(p[1].max(), 1e-12)
-        new /= max(new.max(), 1e-12)
-        if np.abs(new - score).max() < CONVERGED:
-            score = new
-            break
+        # a token stands for another as far as the fields that have them are similar
+        words = np.maximum(equal, np.minimum(1, A.T @ score @ B / np.maximum(among, beside_)))
+        best = lambda i, j, w=words: (w[np.ix_(A[i] > 0, B[j] > 0)].max(1).mean() + w[np.ix_(A[i] > 0, B[j] > 0)].max(0).mean()) / 2 if A[i].any() and B[j].any() else 0.0
+        named = np.array([[best(i, j) for j in range(len(right))] for i in range(len(left))])
+        around = np.where(kind == "plainplain", 0.25 * same + 0.75 * values, np.where(kind == "nestednested", shape * places(score), 0.0))
+        new = np.where(apart, 0.0, (own + np.maximum(around, named)) / 2)
+        moved = np.abs(new - score).max()
         score = new
-    return np.where(own >= LEAST, score, 0.0)
+        if moved < CONVERGED:
+            break
+    return score
 
 
-def correspondences(left: list[dict], right: list[dict]) -> list[tuple[int, int]]:
-    """One-to-one pairs: best score first, ties by the names."""
+def correspondences(left: list[dict], right: list[dict], was: list[dict] = (), now: list[dict] = ()) -> list[tuple[int, int]]:
+    """One-to-one pairs that reach ``LEAST``: best score first (a stable matching), ties by the names."""
     if not left or not right:
         return []
-    s = flood(left, right)
-    order = sorted(((-s[i, j], left[i]["field"], right[j]["field"], i, j) for i in range(len(left)) for j in range(len(right)) if s[i, j] > 0))
+    s = np.round(flood(left, right, was, now), 6)
+    order = sorted(((-s[i, j], left[i]["field"], right[j]["field"], i, j) for i in range(len(left)) for j in range(len(right)) if s[i, j] >= LEAST))
     pairs, a, b = [], set(), set()
     for _, _, _, i, j in order:
         if i not in a and j not in b:
@@ -196,14 +223,15 @@ def _matcher(landmarks: dict[tuple[str, ...], str]):
         point = shape.startswith("OBJECT") and "likelihood" in shape or shape.startswith("ARRAY") and "STRING" not in shape or (lo or "").count(";") == 2
         return {
             "field": r.field, "canon": canonical(r.field, landmarks), "tokens": tokens(r.field), "type": r.type, "kind": "nested" if point else "plain",
-            "types": [r.type] if r.type else [], "children": re.findall(r"(\w+): ", shape), "values": [x for x in {lo, hi} if x and not point], "lo": lo, "hi": hi,
+            "children": re.findall(r"(\w+): ", shape), "values": [x for x in {lo, hi} if x and not point], "lo": lo, "hi": hi,
         }
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("field")
         gone = [node(r) for r in pdf[pdf["side"] == "removed"].itertuples()]
         come = [node(r) for r in pdf[pdf["side"] == "added"].itertuples()]
-        pairs = correspondences(gone, come)
+        was, now = ([node(r) for r in pdf[pdf["side"] == side].itertuples()] for side in ("was", "now"))
+        pairs = correspondences(gone, come, was, now)
         a, b = {i for i, _ in pairs}, {j for _, j in pairs}
         rows = [(come[j]["field"], "renamed", gone[i]["field"]) for i, j in pairs]
         rows += [(x["field"], "removed", None) for i, x in enumerate(gone) if i not in a]
@@ -243,9 +271,14 @@ def schema_changes(records: DataFrame, files: DataFrame, reference: list[tuple[s
     pairs = cut(file_pairs(files))
     now = pairs.select("file_id").join(schemas, "file_id").select("file_id", "field", F.struct("type", "shape", "lo", "hi").alias("b"))
     before = pairs.select("file_id", F.col("prev_id")).join(schemas.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "field", F.struct("type", "shape", "lo", "hi").alias("a"))
-    both = now.join(before, ["file_id", "field"], "full").where("a is null or b is null or a.type <> b.type")
-    retyped = both.where("a is not null and b is not null").selectExpr("file_id", "field", "'retyped' as change", "cast(null as string) as old_field", "a.type as old_type", "b.type as new_type")
+    both = cut(now.join(before, ["file_id", "field"], "full"))
+    retyped = both.where("a is not null and b is not null and a.type <> b.type").selectExpr("file_id", "field", "'retyped' as change", "cast(null as string) as old_field", "a.type as old_type", "b.type as new_type")
     loose = both.where("a is null or b is null").selectExpr("file_id", "field", "if(a is null, 'added', 'removed') as side", "coalesce(a, b) as t").select("file_id", "field", "side", "t.*")
+    # where fields were both added and removed, those that stayed anchor the matching
+    asked = loose.groupBy("file_id").agg(F.countDistinct("side").alias("sides")).where("sides = 2").select("file_id")
+    stayed = both.where("a is not null and b is not null").join(asked, "file_id", "left_semi")
+    for side, of in (("was", "a"), ("now", "b")):
+        loose = loose.unionByName(stayed.select("file_id", "field", F.lit(side).alias("side"), f"{of}.*"))
     # matching is slow for its few bytes: a fixed number of partitions, which the adaptive planner leaves apart
     loose = loose.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
     matched = loose.groupBy("file_id").applyInPandas(_matcher(_landmarks(reference)), "file_id bigint, field string, change string, old_field string")

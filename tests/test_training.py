@@ -147,6 +147,24 @@ def test_schema_changes(spark):
     assert drift.schema_changes(r.limit(0), f.limit(0), []).count() == 0
 
 
+def test_flooding_decides(spark):
+    """Renames to names that are in no list: by unique values, by the place in the list of body parts, by learned words."""
+    pt = '{"x":1,"y":2,"likelihood":1}'
+    r = records(spark, {
+        1: ['{"fps":30,"gain":7,"parts":"snout,neck,qux","snout":%s,"neck":%s,"qux":%s}' % (pt, pt, pt)],
+        2: ['{"sampling_rate":30,"gain":7,"parts":"muzzle,neck,blob","muzzle":%s,"neck":%s,"blob":%s}' % (pt, pt, pt)],
+        3: ['{"zoom":7,"gain":7,"parts":"neck,tail_tip,muzzle","neck":%s,"tail_tip":%s,"muzzle":%s}' % (pt, pt, pt)],
+        4: ['{"volt":7,"gain":7,"parts":"neck,wing,tail_tip","neck":%s,"tail_tip":%s,"wing":%s}' % (pt, pt, pt)],
+    })
+    f = spark.createDataFrame([(i, "f", f"2020-01-0{i} 10:00:00") for i in range(1, 5)], "file_id bigint, feed_id string, recorded_at string").withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
+    got = {(x.file_id, x.field, x.change, x.old_field) for x in drift.schema_changes(r, f, []).collect()}
+    assert {g for g in got if g[0] == 2} == {(2, "sampling_rate", "renamed", "fps"), (2, "muzzle", "renamed", "snout"), (2, "blob", "renamed", "qux")}
+    # another value; another place
+    assert {g[1:3] for g in got if g[0] == 3} == {("sampling_rate", "removed"), ("zoom", "added"), ("blob", "removed"), ("tail_tip", "added")}
+    # a value that a common field has too tells less, and the list puts the new part elsewhere
+    assert {g[1:3] for g in got if g[0] == 4} == {("zoom", "removed"), ("volt", "added"), ("muzzle", "removed"), ("wing", "added")}
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (None, 3)]
