@@ -204,8 +204,10 @@ def parse_fields(records: DataFrame) -> DataFrame:
 
 
 def file_schemas(fields: DataFrame) -> DataFrame:
-    """file_id, field, type (the most frequent of its values that are not null), shape, lo, hi (bounds of its values as text)."""
-    text = F.substring(F.col("val").cast("string"), 1, 200)
+    """file_id, field, type (the most frequent of its values that are not null), shape, lo, hi (bounds of its values as text,
+    of long ones the beginning and a hash of the whole)."""
+    text = F.col("val").cast("string")
+    text = F.when(F.length(text) > 200, F.concat(F.substring(text, 1, 200), F.sha2(text, 256))).otherwise(text)
     some = F.col("type").isNotNull()
     per = fields.groupBy("file_id", "field", "type").agg(
         F.count("*").alias("n"), F.max(F.when(some, F.col("shape"))).alias("shape"), F.min(F.when(some, text)).alias("lo"), F.max(F.when(some, text)).alias("hi")
@@ -287,7 +289,7 @@ def schema_changes(records: DataFrame, files: DataFrame, reference: list[tuple[s
 
 def landmark_reference(spark, sf_dir: str) -> list[tuple[str, str]]:
     """The table of known names, some dozens of rows, for the driver."""
-    return [(r.alias, r.landmark) for r in table(spark, sf_dir, "landmark_ref").select("alias", "landmark").limit(100_000).collect()]
+    return [(r.alias, r.landmark) for r in table(spark, sf_dir, "landmark_ref").select("alias", "landmark").collect()]
 
 
 def p4_report(spark, sf_dir: str) -> DataFrame:

@@ -165,6 +165,14 @@ def test_flooding_decides(spark):
     assert {g[1:3] for g in got if g[0] == 4} == {("zoom", "removed"), ("volt", "added"), ("muzzle", "removed"), ("wing", "added")}
 
 
+def test_long_values_are_compared_whole(spark):
+    long = "a" * 250
+    r = records(spark, {1: ['{"zeta":"%sx"}' % long, '{"eta":"%sx"}' % long], 2: ['{"kappa":"%sy"}' % long, '{"iota":"%sx"}' % long]})
+    got = {(x.file_id, x.field, x.lo) for x in drift.file_schemas(drift.parse_fields(r)).collect()}
+    lo = {f: v for _, f, v in got}
+    assert lo["zeta"] == lo["eta"] == lo["iota"] != lo["kappa"]
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (None, 3)]
