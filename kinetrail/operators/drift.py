@@ -88,6 +88,12 @@ def canonical(name: str, landmarks: dict[tuple[str, ...], str]) -> str | None:
     return None
 
 
+def individual(name: str) -> int:
+    """Number of the individual that a name's prefix gives, 1 where it gives none."""
+    m = re.fullmatch(r"(?:animal|mouse|rat|subject|individual|ind)(\d+)", (tokens(name) or [""])[0])
+    return int(m[1]) if m else 1
+
+
 def _grams(s: str) -> set[str]:
     s = f"  {s} "
     return {s[i : i + 3] for i in range(len(s) - 2)}
@@ -301,20 +307,28 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p4_table(spark, sf_dir: str) -> DataFrame:
+    return consistent_table(table(spark, sf_dir, "raw_record"), table(spark, sf_dir, "raw_file"), landmark_reference(spark, sf_dir))
+
+
+def consistent_table(records: DataFrame, files: DataFrame, reference: list[tuple[str, str]]) -> DataFrame:
     """All readable records in one schema; fields that are no column and no body part go to ``other`` as JSON.
 
     Names are brought together by the canonical form and, where a name has none, by the renames that the report found.
     Numbers written as text are cast, with a unit after them left out; what can't be cast is null. A line sent again
-    (same file, number and fields) is one row.
+    (same file, number and fields) is one row. Points of an individual other than 1 have its number behind the part
+    (``nose@2``); a further field of a canonical form that the record already has goes to ``other``.
     """
-    reference = landmark_reference(spark, sf_dir)
     known = _landmarks(reference)
-    fields = parse_fields(table(spark, sf_dir, "raw_record"))
-    renames = cut(p4_report(spark, sf_dir).where("change = 'renamed'").select(F.col("field").alias("to"), F.col("old_field").alias("frm")).distinct())
+    fields = parse_fields(records)
+    renames = cut(schema_changes(records, files, reference).where("change = 'renamed'").select(F.col("field").alias("to"), F.col("old_field").alias("frm")).distinct())
 
     @F.pandas_udf("string")
     def canon(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: canonical(x, known))
+        def one(x: str) -> str | None:
+            c = canonical(x, known)
+            return f"{c}@{individual(x)}" if c and c.startswith("part:") and individual(x) != 1 else c
+
+        return s.map(one)
 
     names = fields.select("field").distinct().withColumn("canon", canon("field"))
     by_rename = renames.select(F.col("to").alias("field"), canon("frm").alias("c")).unionByName(renames.select(F.col("frm").alias("field"), canon("to").alias("c")))
@@ -325,9 +339,10 @@ def p4_table(spark, sf_dir: str) -> DataFrame:
     rec = rows.groupBy("file_id", "line_no").agg(F.sort_array(F.collect_list(entry)).alias("e"))
     one = lambda c: F.expr(f"get(filter(e, z -> z.canon = '{c}'), 0).val")
     number = lambda c: F.expr(f"try_cast(regexp_extract(get(filter(e, z -> z.canon = '{c}'), 0).val, '-?[0-9]+(\\\\.[0-9]+)?', 0) as double)")
+    again = "exists(e, o -> o.canon = z.canon and struct(o.field, o.val) < struct(z.field, z.val))"
     names_in = F.expr("filter(transform(split(regexp_replace(get(filter(e, z -> z.canon = 'bodyparts'), 0).val, '[\\\\[\\\\]{}\"]', ''), ','), z -> trim(split(z, ':')[0])), z -> z <> '')")
     points = F.expr(
-        "map_from_entries(transform(filter(e, z -> z.canon like 'part:%' and not exists(e, o -> o.canon = z.canon and o.field < z.field)), "
+        f"map_from_entries(transform(filter(e, z -> z.canon like 'part:%' and not {again}), "
         "z -> struct(substring(z.canon, 6) as part, transform(regexp_extract_all(regexp_replace(z.val, '\"[a-z]+\":', ''), '(-?[0-9]+(?:[.][0-9]+)?(?:[eE][-+]?[0-9]+)?)', 1), q -> try_cast(q as double)) as xyl)))"
     )
     return rec.select(
@@ -345,5 +360,5 @@ def p4_table(spark, sf_dir: str) -> DataFrame:
         number("temp_c").alias("temp_c"),
         one("crop").alias("crop"),
         points.alias("points"),
-        F.expr("to_json(transform(filter(e, z -> z.canon is null), z -> struct(z.field, z.val)))").alias("other"),
+        F.expr(f"to_json(transform(filter(e, z -> z.canon is null or {again}), z -> struct(z.field, z.val)))").alias("other"),
     )

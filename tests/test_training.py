@@ -1,5 +1,6 @@
 """The training-data operators of the core against brute force and hand-made cases."""
 
+import json
 import math
 
 import numpy as np
@@ -173,6 +174,15 @@ def test_long_values_are_compared_whole(spark):
     assert lo["zeta"] == lo["eta"] == lo["iota"] != lo["kappa"]
 
 
+def test_table_keeps_every_field(spark):
+    pt = lambda x: "[%d,2,1]" % x
+    r = records(spark, {1: ['{"animal1_nose":%s,"animal2_nose":%s,"centroid":%s,"back_middle":%s,"fps":30,"framerate":25,"odd":1}' % (pt(1), pt(5), pt(7), pt(8))]})
+    f = spark.createDataFrame([(1, "f", "2020-01-01 10:00:00")], "file_id bigint, feed_id string, recorded_at string").withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
+    row = drift.consistent_table(r, f, []).collect()
+    assert len(row) == 1 and row[0].points == {"nose": [1.0, 2.0, 1.0], "nose@2": [5.0, 2.0, 1.0], "back_middle": [8.0, 2.0, 1.0]}
+    assert row[0].fps == 30.0 and {x["field"]: x["val"] for x in json.loads(row[0].other)} == {"centroid": pt(7), "framerate": "25", "odd": "1"}
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (None, 3)]
