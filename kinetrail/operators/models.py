@@ -52,14 +52,18 @@ def predict(model, classes: list, rows: DataFrame, key: str, vec: str, least: fl
 
 
 def train_hmm(frames: DataFrame, n_labels: int, n_states: int | None = None, *, shard: int = 4096) -> dict:
-    """A categorical model by counts: the labels' transitions within shards, with a sticky prior of one pseudo count, and an
-    emission that gives a state's own label ``0.9`` where states are labels. ``frames``: session_id, frame, label from 0."""
+    """A categorical model by counts: the labels' transitions, with a sticky prior of one pseudo count, and an
+    emission that gives a state's own label ``0.9`` where states are labels. ``frames``: session_id, frame, label from 0. Transitions are counted within shards; the first and
+    last label of each shard give those across its borders."""
     n_states = n_states or n_labels
     from pyspark.sql import Window as W
 
     f = frames.where("label >= 0").withColumn("_s", F.floor(F.col("frame") / shard))
     w = W.partitionBy("session_id", "_s").orderBy("frame")
-    c = f.withColumn("to", F.lead("label").over(w)).where("to is not null").groupBy("label", "to").agg(F.count("*").alias("n")).collect()  # states squared
+    inside = f.select("label", F.lead("label").over(w).alias("to"))
+    ends = f.groupBy("session_id", "_s").agg(F.min_by("label", "frame").alias("first"), F.max_by("label", "frame").alias("last"))
+    across = ends.select(F.col("last").alias("label"), F.lead("first").over(W.partitionBy("session_id").orderBy("_s")).alias("to"))
+    c = inside.unionByName(across).where("to is not null").groupBy("label", "to").agg(F.count("*").alias("n")).collect()  # states squared
     a = np.ones((n_states, n_states))
     for r in c:
         a[r["label"] % n_states, r["to"] % n_states] += r["n"]

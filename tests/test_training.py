@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrail.operators import drift, grid, missing, postures, spikes
+from kinetrail.operators import drift, grid, missing, models, postures, spikes
 from kinetrail.plans.components import connected_components
 
 
@@ -279,3 +279,14 @@ def test_medoids_against_brute_force(spark):
     exact = postures.aligned(z[at], known[at], z[at], known[at]).sum(1)
     assert (low <= exact + 1e-6).all() and (low > exact.min()).any()
     assert postures.medoids(df.select("snap_id", "cluster_id").limit(0), df, 6).count() == 0
+
+
+def test_hmm_counts_every_transition(spark):
+    labels = np.random.default_rng(8).integers(-1, 3, 50).tolist()
+    f = spark.createDataFrame([("a", i, v) for i, v in enumerate(labels)] + [("b", 3, 1), ("b", 40, 2)], "session_id string, frame bigint, label int")
+    want = np.ones((3, 3))
+    seen = [v for v in labels if v >= 0]
+    for a, b in [*zip(seen, seen[1:]), (1, 2)]:
+        want[a, b] += 1
+    for shard in (4, 7, 4096):
+        assert np.allclose(models.train_hmm(f, 3, shard=shard)["trans"], want / want.sum(1, keepdims=True))
