@@ -199,6 +199,21 @@ def density_tree(x: np.ndarray, least: int, samples: int) -> np.ndarray:
     return labels
 
 
+def density_labels(rows: DataFrame, key: str, vec: str, *, bound: int = 2000, least: int = 20, samples: int = 5, hidden: tuple[int, ...] = (100, 50), iterations: int = 100, confidence: float = 0.0) -> DataFrame:
+    """key, label, confidence of all rows with a vector: density clusters of a sample (the ``bound`` rows of the smallest hash
+    of their key, fitted on the driver), carried to all rows by a perceptron. With one cluster in the sample all rows are of
+    it, with none all are noise, -1; the confidence is null then."""
+    r = rows.where(F.col(vec).isNotNull() & F.col(key).isNotNull())
+    sample = [x[vec] for x in r.orderBy(F.xxhash64(key), key).select(vec, key).limit(bound).collect()]
+    labels = density_tree(np.array(sample, dtype=float), least, samples).tolist() if sample else []
+    classes = sorted(set(labels) - {-1})
+    if len(classes) < 2:
+        return r.select(key, F.lit(classes[0] if classes else -1).alias("label"), F.lit(None).cast("double").alias("confidence"))
+    train = rows.sparkSession.createDataFrame([([float(v) for v in x], y) for x, y in zip(sample, labels, strict=True)], "v array<double>, label int")
+    model, classes = train_classifier(train, "v", "label", hidden, iterations=iterations)
+    return predict(model, classes, r, key, vec, confidence)
+
+
 def procrustes(pairs: DataFrame, axes: int = 3) -> dict:
     """Rotation, scale and shift that carry points a onto b (least squares), from sums over all rows; a_0.., b_0.. columns.
     None below four pairs."""

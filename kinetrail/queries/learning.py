@@ -27,6 +27,11 @@ def classify(s, d):
     return p.select("vec_id", "label", F.round("confidence", 4).alias("confidence"))
 
 
+def dense(s, d):
+    p = M.density_labels(table(s, d, "embeddings"), "vec_id", "embedding", hidden=(16,), iterations=30)
+    return p.select("vec_id", "label", F.round("confidence", 4).alias("confidence"))
+
+
 def align(s, d):
     """Positions of the first frame of each user carried onto those of the second by a similarity in the plane."""
     f = frames(s, d)
@@ -39,6 +44,7 @@ def align(s, d):
 QUERIES = {
     "hmm_viterbi": hmm,
     "mlp_predict": classify,
+    "density_labels": dense,
     "pca_reduce": lambda s, d: M.reduce_features(table(s, d, "embeddings"), "vec_id", "embedding", 5),
     "procrustes_align": align,
     "tumbling_counts": lambda s, d: S.tumbling(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day"),

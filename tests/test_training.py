@@ -290,3 +290,15 @@ def test_hmm_counts_every_transition(spark):
         want[a, b] += 1
     for shard in (4, 7, 4096):
         assert np.allclose(models.train_hmm(f, 3, shard=shard)["trans"], want / want.sum(1, keepdims=True))
+
+
+def test_density_labels_reach_all_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(0, 0.3, 2) + [8 * (i % 2), 0]).tolist()) for i in range(300)] + [(900, None)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = {r.id: r.label for r in models.density_labels(df, "id", "v", bound=80, least=10, samples=3, hidden=(8,)).collect()}
+    assert set(got) == set(range(300)) and len({got[0], got[1]}) == 2
+    assert all(got[i] == got[i % 2] for i in got)
+    few = models.density_labels(df.where("id < 5"), "id", "v", bound=80, least=10).collect()
+    assert len(few) == 5 and {r.label for r in few} == {-1}
+    assert models.density_labels(df.limit(0), "id", "v").count() == 0
