@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetrail.operators.bouts import rle
-from kinetrail.plans.sequence import carry, halo, home, in_shards
+from kinetrail.plans.sequence import SHARD, beside, carry, halo, home, in_shards
 
 TRACK = ["session_id", "bodypart"]
 
@@ -19,11 +19,11 @@ def low_fraction(pose: DataFrame, threshold: float = 0.3) -> DataFrame:
     return pose.groupBy(*TRACK).agg(F.avg((F.col("likelihood") < threshold).cast("double")).alias("ll_frac"), F.count("likelihood").alias("n"))
 
 
-def fill_gaps(pose: DataFrame, threshold: float, most: int | None) -> DataFrame:
+def fill_gaps(pose: DataFrame, threshold: float, most: int | None, *, shard: int = SHARD) -> DataFrame:
     """Positions below the threshold or missing: a straight line over gaps of up to ``most`` frames (None: all), beyond that the
     left value up to the middle and the right one after it, marked ``flat_held``; at an end of the track the nearest value."""
     good = (F.col("likelihood") >= threshold) & F.col("x").isNotNull() & F.col("y").isNotNull()
-    p = carry(pose.select(*TRACK, "frame", "x", "y", "likelihood"), TRACK, "frame", F.when(good, F.struct("x", "y")), "b", "a")
+    p = carry(pose.select(*TRACK, "frame", "x", "y", "likelihood"), TRACK, "frame", F.when(good, F.struct("x", "y")), "b", "a", shard)
     gap = F.col("a.at") - F.col("b.at") - 1
     t = (F.col("frame") - F.col("b.at")) / (F.col("a.at") - F.col("b.at"))
     line = (gap <= most) if most is not None else F.lit(True)
@@ -37,12 +37,12 @@ def fill_gaps(pose: DataFrame, threshold: float, most: int | None) -> DataFrame:
     return p.select("session_id", "frame", "bodypart", value("x"), value("y"), F.coalesce(held, F.lit(False)).alias("flat_held"))
 
 
-def boxcar(pose: DataFrame, width: int) -> DataFrame:
+def boxcar(pose: DataFrame, width: int, *, shard: int = SHARD) -> DataFrame:
     """Mean of ``width`` rows around each, rows beyond an end counted as 0; a null position counts as 0 as well."""
     if width <= 1:
         return pose.select("session_id", "frame", "bodypart", "x", "y")
     w = in_shards(TRACK, "frame").rowsBetween(-(width // 2), (width - 1) // 2)
-    p = halo(pose.select(*TRACK, "frame", "x", "y"), "frame", 64 + 4 * width)
+    p = beside(pose.select(*TRACK, "frame", "x", "y"), TRACK, "frame", width // 2, (width - 1) // 2, shard)
     for c in ("x", "y"):
         p = p.withColumn(f"_{c}", F.sum(F.coalesce(c, F.lit(0.0))).over(w) / width)
     return home(p).select("session_id", "frame", "bodypart", F.col("_x").alias("x"), F.col("_y").alias("y"))

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.operators.bouts import rle
-from kinetrail.plans.runtime import join_dim
-from kinetrail.plans.sequence import halo, home, in_shards
+from kinetrail.plans.runtime import cut, fits_broadcast, join_dim
+from kinetrail.plans.sequence import SHARD, beside, halo, home, in_shards
 
 TRACK = ["session_id", "bodypart"]
 
@@ -19,8 +19,9 @@ def binned(pose: DataFrame, sessions: DataFrame) -> DataFrame:
     """Adds ``win`` and ``bin`` from the session's fps (win: a tenth of it, rounded half to even, one at least); frames after
     the last full bin are left out. ``sessions``: session_id, fps (null: 30)."""
     s = sessions.select("session_id", F.greatest(F.lit(1), F.bround(F.coalesce("fps", F.lit(30.0)) / 10).cast("int")).alias("win"))
-    top = pose.groupBy("session_id").agg((F.max("frame") + 1).alias("_n"))
-    s = s.join(top, "session_id").withColumn("_bins", F.floor(F.col("_n") / F.col("win"))).drop("_n")
+    # the frames of each session are counted in one pass and written: the join asks for their number and rows without a second scan
+    top = cut(pose.groupBy("session_id").agg((F.max("frame") + 1).alias("_n")))
+    s = cut(s.join(F.broadcast(top) if fits_broadcast(top) else top, "session_id").withColumn("_bins", F.floor(F.col("_n") / F.col("win"))).drop("_n"))
     p = join_dim(pose.select(*TRACK, "frame", "x", "y", "likelihood"), s, ["session_id"], "inner").withColumn("bin", F.floor(F.col("frame") / F.col("win")))
     return p.where("bin < _bins").drop("_bins")
 
@@ -125,10 +126,10 @@ def turned_away(b: DataFrame, head: list[str], nose: list[str], thresholds: Data
     return r.where(F.col("n_bins") >= least_bins)
 
 
-def tracking_metrics(pose: DataFrame, sessions: DataFrame) -> DataFrame:
+def tracking_metrics(pose: DataFrame, sessions: DataFrame, *, shard: int = SHARD) -> DataFrame:
     """Per session and body part: mean, spread and variation of the speed in px/s, jitter (mean change of the step, px a frame),
     spread of the position, box area, mean likelihood and share below 0.3."""
-    p = halo(pose.select(*TRACK, "frame", "x", "y", "likelihood"), "frame", 8)
+    p = beside(pose.select(*TRACK, "frame", "x", "y", "likelihood"), TRACK, "frame", 2, shard=shard)
     w = in_shards(TRACK, "frame")
     p = p.withColumn("step", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
     p = p.withColumn("turn", F.abs(F.col("step") - F.lag("step").over(w)))

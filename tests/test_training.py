@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrail.operators import drift, grid, missing, models, postures, spikes
+from kinetrail.operators import clean, drift, features, grid, missing, models, postures, spikes
 from kinetrail.plans.components import connected_components
 
 
@@ -116,7 +116,7 @@ def test_spikes_over_shards(spark):
     rows = [tuple(r) for r in rows] + [tuple(rows[700])] + [(None, "nose", 1, 1.0, 1.0, 1.0, "src", 1, 1)]
     t = spark.createDataFrame(rows, "session_id string, bodypart string, frame bigint, x double, y double, likelihood double, source string, frame_w int, frame_h int")
     for shard in (256, 8192):
-        got = {(r.bodypart, r.frame, r.field) for r in spikes.flag_spikes(t, shard_frames=shard, halo_frames=64).collect()}
+        got = {(r.bodypart, r.frame, r.field) for r in spikes.flag_spikes(t, shard_frames=shard).collect()}
         assert got == {("nose", 700, "x"), ("nose", 900, "likelihood"), ("nose", 901, "x")} | {("nose", f, "y") for f in range(251, 265)}
     assert spikes.flag_spikes(t.limit(0)).count() == 0
 
@@ -302,3 +302,56 @@ def test_density_labels_reach_all_rows(spark):
     few = models.density_labels(df.where("id < 5"), "id", "v", bound=80, least=10).collect()
     assert len(few) == 5 and {r.label for r in few} == {-1}
     assert models.density_labels(df.limit(0), "id", "v").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_no_border_changes_the_flags(spark, seed):
+    """Any shard size gives the flags of the unsharded track, with gaps of frames at every border."""
+    rng = np.random.default_rng(seed)
+    rows, frame = [], 0
+    x = 300 + np.cumsum(rng.normal(0, 1, 1500))
+    for k, at in enumerate(rng.integers(5, 1480, 9)):
+        x[at : at + 1 + k % 4] += rng.choice([-90, 90])
+    for a, n in ((20, 12), (100, 40), (200, 9), (250, 10), (310, 25), (900, 300)):
+        x[a : a + n] = x[a]
+    for v in x:
+        frame += int(rng.choice([1, 1, 1, 2, 40]))
+        rows.append(("s", "nose", frame, None if rng.random() < 0.05 else float(v), float(rng.normal(200, 1)), 0.5, "src", 640, 480))
+    t = spark.createDataFrame(rows, "session_id string, bodypart string, frame bigint, x double, y double, likelihood double, source string, frame_w int, frame_h int")
+    flags = lambda n: sorted((r.frame, r.field, r.reason, round(r.resid or 0, 9)) for r in spikes.flag_spikes(t, shard_frames=n).collect())
+    whole = flags(1 << 40)
+    assert {r[2] for r in whole} == {"case", "far"}
+    for n in (1, 17, 300):
+        assert flags(n) == whole, n
+
+
+def test_tail_fit():
+    rng = np.random.default_rng(7)
+    x = np.r_[rng.exponential(2.0, 200_000), np.full(2000, 500.0)]
+    u, n = np.unique(np.round(x, 2), return_counts=True)
+    at = spikes.gpd_cutoff(u, n, 1e-6)
+    assert 2 * np.log(1e6) * 0.85 < at < 2 * np.log(1e6) * 1.15  # the share of outliers moves the cutoff little
+    shape, scale = spikes.gpd(rng.pareto(5, 400_000) / 5, np.ones(400_000))
+    assert abs(shape - 0.2) < 0.03 and abs(scale - 0.2) < 0.02
+    assert spikes.gpd_cutoff(np.zeros(1), np.array([50])) == 0.0
+    phase = np.repeat(np.arange(12), 500)
+    r = rng.exponential(1.0, 6000) * np.where(phase == 4, 6, 1)
+    s = spikes.seasonal_scales(phase, r, np.full(6000, 40))
+    assert s[4] > 3 and np.abs(np.delete(s, 4) - np.median(s)).max() < 0.3
+
+
+def test_no_border_changes_tracks(spark):
+    """Lags, means over rows and gap filling at any shard size, with gaps of frames wider than a shard."""
+    rng = np.random.default_rng(11)
+    frames = np.cumsum(rng.choice([1, 1, 2, 30, 200], 120))
+    rows = [("s", "nose", int(f), float(rng.normal()), float(rng.normal()), float(rng.random())) for f in frames]
+    t = spark.createDataFrame(rows, "session_id string, bodypart string, frame bigint, x double, y double, likelihood double")
+    s = spark.createDataFrame([("s", 30.0)], "session_id string, fps double")
+    out = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    for make in (lambda n: features.tracking_metrics(t, s, shard=n), lambda n: clean.boxcar(t, 5, shard=n), lambda n: clean.fill_gaps(t, 0.5, 3, shard=n)):
+        whole = out(make(1 << 30))
+        for n in (1, 10, 333):
+            assert out(make(n)) == whole
+    x = np.array([r[3] for r in rows])
+    want = [sum(x[max(0, i - 2) : i + 3]) / 5 for i in range(len(x))]
+    assert np.allclose([r[3] for r in sorted(clean.boxcar(t, 5, shard=10).select("session_id", "bodypart", "frame", "x").collect())], want)
