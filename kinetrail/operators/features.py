@@ -21,7 +21,7 @@ def binned(pose: DataFrame, sessions: DataFrame) -> DataFrame:
     s = sessions.select("session_id", F.greatest(F.lit(1), F.bround(F.coalesce("fps", F.lit(30.0)) / 10).cast("int")).alias("win"))
     # the frames of each session are counted in one pass and written: the join asks for their number and rows without a second scan
     top = cut(pose.groupBy("session_id").agg((F.max("frame") + 1).alias("_n")))
-    s = cut(s.join(F.broadcast(top) if fits_broadcast(top) else top, "session_id").withColumn("_bins", F.floor(F.col("_n") / F.col("win"))).drop("_n"))
+    s = s.join(F.broadcast(top) if fits_broadcast(top) else top, "session_id").withColumn("_bins", F.floor(F.col("_n") / F.col("win"))).drop("_n")
     p = join_dim(pose.select(*TRACK, "frame", "x", "y", "likelihood"), s, ["session_id"], "inner").withColumn("bin", F.floor(F.col("frame") / F.col("win")))
     return p.where("bin < _bins").drop("_bins")
 

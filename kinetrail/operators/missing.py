@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetrail.plans.runtime import cut, fits_broadcast, join_dim, latest, nan_to_null, table
@@ -35,51 +36,73 @@ def bin_width(field):
     return F.when(field.isin("likelihood", "ll_frac"), F.lit(0.01)).otherwise(F.lit(1.0))
 
 
-def find_sentinels(values: DataFrame) -> DataFrame:
-    """Fixed numbers that a source writes in place of a value: columns source, field, value.
-
-    ``values``: ``source``, ``field``, ``value`` double, ``unit`` bigint (a hash of the track the value is from). The values are counted in
-    narrow bins, so the state is the range of a source over the width of a bin whatever the number of rows, and partial
-    counts are merged before the shuffle. A sentinel is one number written at least ``SENTINEL_LEAST`` times in at least
-    two tracks while the other readings of its bin and of the neighbouring bins are fewer than ``NEAR_SHARE`` of it. A
-    number on the edge of its bin (any whole number) is counted in the one pass; a second pass over exact values follows
-    only where a crowded bin stands alone without such a number. The bounds 0 and 1 of a likelihood or share are true
-    values. Nulls and NaN are passed over; a null source is a source of its own.
-    """
+def value_bins(values: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of the values in narrow bins ``b``: by, b, n, their bounds, bounds of ``unit``, and the number on the bin's edge. The
+    state is the range of the values over the width of a bin, whatever the number of rows; partial counts are merged before
+    the shuffle. Nulls and NaN are passed over, as are 0 and 1 of a likelihood or share, which are true values."""
     width = bin_width(F.col("field"))
     bound = F.col("field").isin("likelihood", "ll_frac") & F.col("value").isin(0.0, 1.0)
     values = values.where(F.col("value").isNotNull() & ~F.isnan("value") & ~bound).withColumn("b", F.floor(F.col("value") / width + 1e-9))
     edge = F.abs(F.col("value") - F.col("b") * width) < 1e-9
-    bins = cut(
-        values.groupBy("source", "field", "b").agg(
-            F.count("*").alias("n"),
-            F.min("value").alias("lo"),
-            F.max("value").alias("hi"),
-            F.min("unit").alias("u0"),
-            F.max("unit").alias("u1"),
-            F.count_if(edge).alias("n_edge"),
-            F.min(F.when(edge, F.col("value"))).alias("at_edge"),
-            F.min(F.when(edge, F.col("unit"))).alias("e0"),
-            F.max(F.when(edge, F.col("unit"))).alias("e1"),
-        )
-    ).withColumn("_s", F.coalesce("source", F.lit("")))
-    near = (
-        bins.select("_s", "field", F.explode(F.sequence(F.col("b") - NEAR_BINS, F.col("b") + NEAR_BINS)).alias("b"), "n")
-        .groupBy("_s", "field", "b")
-        .agg(F.sum("n").alias("all"))
+    return values.groupBy(*by, "b").agg(
+        F.count("*").alias("n"),
+        F.min("value").alias("lo"),
+        F.max("value").alias("hi"),
+        F.min("unit").alias("u0"),
+        F.max("unit").alias("u1"),
+        F.count_if(edge).alias("n_edge"),
+        F.min(F.when(edge, F.col("value"))).alias("at_edge"),
+        F.min(F.when(edge, F.col("unit"))).alias("e0"),
+        F.max(F.when(edge, F.col("unit"))).alias("e1"),
     )
-    bins = bins.where(f"n >= {SENTINEL_LEAST} and u0 <> u1").join(near, ["_s", "field", "b"])
+
+
+def find_sentinels(values: DataFrame, bins: DataFrame | None = None) -> DataFrame:
+    """Fixed numbers that a source writes in place of a value: columns source, field, value.
+
+    ``values``: ``source``, ``field``, ``value`` double, ``unit`` bigint (a hash of the track the value is from). ``bins``: its
+    ``value_bins`` by source and field, or finer, where they are there already. A sentinel is one number written at least
+    ``SENTINEL_LEAST`` times in at least two tracks while the other readings of its bin and of the neighbouring bins are fewer
+    than ``NEAR_SHARE`` of it. A number on the edge of its bin (any whole number) is counted in the one pass; a second pass over
+    exact values follows only where a crowded bin stands alone without such a number. A null source is a source of its own.
+    """
+    if bins is None:
+        bins = value_bins(values, ["source", "field"])
+    low, high, total = (lambda c: F.min(c).alias(c)), (lambda c: F.max(c).alias(c)), (lambda c: F.sum(c).alias(c))
+    bins = cut(bins.groupBy("source", "field", "b").agg(total("n"), low("lo"), high("hi"), low("u0"), high("u1"), total("n_edge"), low("at_edge"), low("e0"), high("e1")))
+    bins = bins.withColumn("_s", F.coalesce("source", F.lit("")))
+    # a source and field have as many rows here as bins
+    near = W.partitionBy("_s", "field").orderBy("b").rangeBetween(-NEAR_BINS, NEAR_BINS)
+    bins = bins.withColumn("all", F.sum("n").over(near)).where(f"n >= {SENTINEL_LEAST} and u0 <> u1")
     by_edge = (F.col("n_edge") >= SENTINEL_LEAST) & (F.col("e0") != F.col("e1")) & (F.col("all") - F.col("n_edge") < NEAR_SHARE * F.col("n_edge"))
     by_bin = (F.col("lo") == F.col("hi")) & (F.col("all") - F.col("n") < NEAR_SHARE * F.col("n"))
     found = bins.where(by_edge | by_bin).select("source", "field", F.when(by_edge, F.col("at_edge")).otherwise(F.col("lo")).alias("value"))
     crowded = bins.where(~by_edge & ~by_bin & (F.col("n") >= CROWDED) & (F.col("all") - F.col("n") < NEAR_SHARE * F.col("n"))).select("_s", "field", "b", "all")
     if crowded.isEmpty():
         return found
-    exact = values.withColumn("_s", F.coalesce("source", F.lit(""))).join(crowded, ["_s", "field", "b"])
+    exact = values.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("b", F.floor(F.col("value") / bin_width(F.col("field")) + 1e-9))
+    exact = exact.withColumn("_s", F.coalesce("source", F.lit(""))).join(crowded, ["_s", "field", "b"])
     exact = exact.groupBy("source", "field", "value", "all").agg(F.count("*").alias("n"), F.min("unit").alias("u0"), F.max("unit").alias("u1"))
     return found.unionByName(exact.where(F.expr(f"n >= {SENTINEL_LEAST} and u0 <> u1 and all - n < {NEAR_SHARE} * n")).select("source", "field", "value"))
 
 
+def bin_medians(bins: DataFrame, sentinels: DataFrame, keys: list[str], least: int = MIN_SUPPORT) -> DataFrame:
+    """keys, _fill: the median of the values in ``bins`` (scope, field, b and the keys; ``sentinels`` by scope), exact to a bin and
+    drawn between the bin's bounds by rank; groups of fewer than ``least`` values are left out."""
+    marks = sentinels.select(F.coalesce("source", F.lit("")).alias("scope"), "field", F.floor(F.col("value") / bin_width(F.col("field")) + 1e-9).alias("b"), "value")
+    marks = marks.groupBy("scope", "field", "b").agg(F.collect_set("value").alias("_m"))
+    n = F.when(F.array_contains("_m", F.col("at_edge")), F.col("n") - F.col("n_edge")).when(F.col("_m").isNotNull(), F.lit(0)).otherwise(F.col("n"))
+    h = bins.join(F.broadcast(marks) if fits_broadcast(marks) else marks, ["scope", "field", "b"], "left").withColumn("n", n).where("n > 0")
+    for k in keys:
+        h = h.where(F.col(k).isNotNull())
+    h = h.groupBy(*keys, "b").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    w = W.partitionBy(*keys)  # a group has as many rows as bins
+    h = h.withColumn("_upto", F.sum("n").over(w.orderBy("b").rowsBetween(W.unboundedPreceding, 0))).withColumn("_half", F.sum("n").over(w) / 2)
+    h = h.where((F.col("_half") * 2 >= least) & (F.col("_upto") >= F.col("_half")) & (F.col("_upto") - F.col("n") < F.col("_half")))
+    part = (F.col("_half") - (F.col("_upto") - F.col("n"))) / F.col("n")
+    return h.select(*keys, (F.col("lo") + (F.col("hi") - F.col("lo")) * part).alias("_fill"))
+
+
 def sentinel_map(sentinels: DataFrame) -> DataFrame:
     """One row per source: ``marks``, a map from field to its sentinels."""
     per = sentinels.groupBy("source", "field").agg(F.collect_set("value").alias("v"))
@@ -87,13 +110,15 @@ def sentinel_map(sentinels: DataFrame) -> DataFrame:
 
 
 def fill_hierarchical(
-    cells: DataFrame, cases: DataFrame, levels: list[list[str]], *, value: str = "value", min_support: int = MIN_SUPPORT, how: str = "median"
+    cells: DataFrame, cases: DataFrame, levels: list[list[str]], *, value: str = "value", min_support: int = MIN_SUPPORT, how: str = "median",
+    given: dict[int, DataFrame] | None = None,
 ) -> DataFrame:
     """Fill ``cases`` (rows without a value) from ``cells`` (rows with one).
 
     Returns the rows of ``cases`` with ``value`` (null when no level has support), ``fill_level`` (0 is the finest, null
     when not filled) and ``is_filled``. ``how`` is ``median`` for numbers (approximate to 1/1000 of the ranks from the
-    second level on, exact below) or ``mode`` (the smallest of the most frequent) for categories.
+    second level on, exact below) or ``mode`` (the smallest of the most frequent) for categories. ``given`` has the statistics
+    (keys, ``_fill``) of levels for which they are there already; the cells are not read for these.
 
     A null in a key of a level is a group of its own at no level: such rows go to the next. Empty tables give empty
     results; rows sent again weigh in as often as they are in ``cells``.
@@ -101,8 +126,13 @@ def fill_hierarchical(
     done, rest = [], cases
     for depth, keys in enumerate(levels):
         known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        if given and depth in given:
+            tried = cut(join_dim(rest, given[depth], keys, "left"))
+            done.append(tried.where("_fill is not null").withColumn(value, F.col("_fill")).drop("_fill").withColumn("fill_level", F.lit(depth)))
+            rest = tried.where("_fill is null").drop("_fill")
+            continue
         h = F.xxhash64(*keys)
-        need = rest.where(known).select(h.alias("_h")).distinct()
+        need = cut(rest.where(known).select(h.alias("_h")).distinct())
         mine = cells.where(known & F.col(value).isNotNull()).withColumn("_h", h)
         mine = mine.join(F.broadcast(need) if fits_broadcast(need) else need, "_h", "left_semi")
         if how == "mode":
@@ -132,7 +162,7 @@ def sessions(spark, sf_dir: str) -> DataFrame:
 
 def _cells(spark, sf_dir: str) -> DataFrame:
     """Every value of the three tables: session_id, source, bodypart, frame, field, value (null or NaN where missing)."""
-    s = sessions(spark, sf_dir)
+    s = cut(sessions(spark, sf_dir))
     dim = s.select("session_id", "source")
     track = table(spark, sf_dir, "pose_track").where("session_id is not null").select("session_id", "frame", "bodypart", "x", "y", "likelihood")
     track = join_dim(track, dim, ["session_id"]).selectExpr(
@@ -150,24 +180,30 @@ def _cells(spark, sf_dir: str) -> DataFrame:
     return track.unionByName(snap).unionByName(frac)
 
 
-def pose_cells(spark, sf_dir: str) -> DataFrame:
-    """``_cells`` with sentinels, NaN and nulls all null, and ``block``, the run of neighbouring frames. Sentinels of a
-    coordinate or likelihood are those of its source; the shares in ``ll_fracs`` are all written by one loader."""
+def pose_cells(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``_cells`` with sentinels, NaN and nulls all null, and ``block``, the run of neighbouring frames; the counts of the values
+    in narrow bins by source and body part; and the sentinels. Sentinels of a coordinate or likelihood are those of its
+    source; the shares in ``ll_fracs`` are all written by one loader."""
     scope = F.when(F.col("field") == "ll_frac", F.lit("*")).otherwise(F.coalesce("source", F.lit("")))
     cells = _cells(spark, sf_dir).withColumn("scope", scope)
-    marks = sentinel_map(find_sentinels(cells.select(F.col("scope").alias("source"), "field", "value", F.xxhash64("session_id", "bodypart").alias("unit"))))
+    values = cells.withColumn("unit", F.xxhash64("session_id", "bodypart"))
+    bins = cut(value_bins(values, ["scope", "source", "bodypart", "field"]))
+    found = cut(find_sentinels(values.drop("source").withColumnRenamed("scope", "source"), bins.drop("source").withColumnRenamed("scope", "source")))
+    marks = sentinel_map(found)
     cells = join_dim(cells, cut(marks.withColumnRenamed("source", "scope")), ["scope"])
     fixed = F.coalesce(F.array_contains(F.element_at("marks", F.col("field")), F.col("value")), F.lit(False))
     value = F.when(~fixed, nan_to_null(F.col("value")))
-    return cells.select("session_id", "source", "bodypart", "frame", "field", value.alias("value"), F.floor(F.col("frame") / BLOCK_FRAMES).alias("block"))
+    return cells.select("session_id", "source", "bodypart", "frame", "field", value.alias("value"), F.floor(F.col("frame") / BLOCK_FRAMES).alias("block")), bins, found
 
 
 def fill_pose(spark, sf_dir: str) -> DataFrame:
     """Every missing value of x, y, likelihood and ll_frac, filled: session_id, source, bodypart, frame, field, block,
-    value, fill_level, is_filled. A row sent again gives one case."""
-    cells = pose_cells(spark, sf_dir)
+    value, fill_level, is_filled. A row sent again gives one case. The cells are read four times: for the counts in bins, from
+    which the sentinels and the medians of whole sources come, for the cases, and for the two levels within a track."""
+    cells, bins, found = pose_cells(spark, sf_dir)
     cases = cut(cells.where("value is null").distinct())
-    return fill_hierarchical(cells.where("value is not null"), cases, LEVELS)
+    given = {k: bin_medians(bins, found, keys) for k, keys in enumerate(LEVELS) if "source" in keys}
+    return fill_hierarchical(cells.where("value is not null"), cases, LEVELS, given=given)
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:

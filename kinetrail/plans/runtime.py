@@ -50,12 +50,20 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return df.count() <= limit // row_width(df)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as it is when it is read from a table or checkpoint by projections and filters alone, else materialised: what is
+    counted and then joined is computed once."""
+    names = df._jdf.queryExecution().analyzed().toString()
+    return cut(df) if any(x in names for x in ("Aggregate", "Join", "Window", "Generate", "Distinct", "Deduplicate", "InPandas", "InArrow", "Sort")) else df
+
+
 def join_dim(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join a large table with a dimension on keys that may be heavily skewed.
 
     The dimension is broadcast when its count proves it small; beyond that the fact's rows of every key are spread over
     ``SALTS`` reducers and the dimension is replicated as often, so that no key lands in one task.
     """
+    dim = settled(dim)
     if fits_broadcast(dim):
         return fact.join(F.broadcast(dim), on, how)
     salt = F.pmod(F.xxhash64(*[c for c in fact.columns]), F.lit(SALTS)).cast("int")
