@@ -1,8 +1,10 @@
 """Queries on texts, and the SQL they are compared with."""
 
-from kinetrail.llm import mixing, quality, tokens
+from kinetrail.llm import mixing, postures, quality, tokens
 
 QUERIES = {
+    "p2_found": postures.p2_found,
+    "p2_clusters": postures.p2_clusters,
     "p6_ids": tokens.p6_ids,
     "p7_mixture": mixing.p7_mixture,
     "p7_shares": mixing.p7_shares,
