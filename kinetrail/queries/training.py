@@ -1,12 +1,10 @@
 """Queries of the training-data operators of the core."""
 
-from kinetrail.operators import drift, grid, missing, postures, spikes
+from kinetrail.operators import drift, grid, missing, spikes
 
 QUERIES = {
     "p1_found": grid.p1_found,
     "p1_grid": grid.p1_grid,
-    "p2_found": postures.p2_found,
-    "p2_clusters": postures.p2_clusters,
     "p3_found": missing.p3_found,
     "p3_fills": missing.p3_fills,
     "p4_found": drift.p4_found,

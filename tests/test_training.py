@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrail.operators import clean, drift, features, grid, missing, models, postures, spikes
+from kinetrail.operators import clean, drift, features, grid, missing, models, spikes
 from kinetrail.plans.components import connected_components
 
 
@@ -201,86 +201,6 @@ def test_components(spark):
     assert got == {x: find(x) for x in low}
 
 
-def turned(rng, shape, noise, flip=False):
-    a = rng.uniform(0, 2 * math.pi)
-    p = shape * ([-1, 1] if flip else [1, 1])
-    return p @ np.array([[math.cos(a), -math.sin(a)], [math.sin(a), math.cos(a)]]) + rng.uniform(0, 900, 2) + rng.normal(0, noise, shape.shape)
-
-
-def test_postures_against_brute_force(spark):
-    rng = np.random.default_rng(4)
-    shapes = [rng.uniform(-80, 80, (6, 2)) for _ in range(5)]
-    rows = []
-    for i in range(300):
-        k = 0 if i < 180 else i % 5
-        p = turned(rng, shapes[k], 0.6, flip=i % 50 == 49).ravel().tolist()
-        if i % 17 == 3:
-            p[2 * (i % 6)] = None
-        if i % 41 == 5:
-            p[0] = p[5] = None
-        rows.append((i + 1, p, "extra"))
-    rows += [(500 + i, rng.uniform(0, 300, 12).tolist(), "x") for i in range(40)]
-    rows += [(700, None, "x"), (701, [None] * 12, "x"), (702, [1.0], "x"), (None, [1.0] * 12, "x"), (1, rows[0][1], "again")]
-    rows += [(800, turned(rng, shapes[1], 0).ravel().tolist(), "x"), (801, (turned(rng, shapes[1], 0) + [[9, 0], [0, 9], [0, 0], [-9, 0], [0, -9], [0, 0]]).ravel().tolist(), "x")]
-    df = spark.createDataFrame(rows, "snap_id bigint, xy array<double>, leader string").repartition(3)
-    got = {r.snap_id: r.cluster_id for r in postures.cluster_postures(df, 6).collect()}
-    use = {r[0]: r[1] for r in rows if r[0] and r[1] and len(r[1]) == 12 and r[0] != 701}
-    ids = np.array(sorted(use))
-    z, known = postures._complex([use[i] for i in ids], 6)
-    d = postures.aligned(z, known, z, known)
-    alike = (d <= 4) & ~np.eye(len(ids), dtype=bool)
-    for a, i in enumerate(ids):
-        group = {int(x) for x in ids[alike[a]]} | ({int(i)} if alike[a].any() else set())
-        assert got.get(int(i)) == (min(group) if group else None), i
-    assert postures.cluster_postures(df.limit(0), 6).count() == 0
-
-
-def test_chain_is_divided(spark):
-    base = np.array([[0, 0], [100, 0], [0, 100], [100, 100]], float)
-    push = lambda e: (base + [[e, 0], [0, 0], [0, 0], [0, 0]]).ravel().tolist()
-    df = spark.createDataFrame([(1, push(0)), (2, push(7.5)), (3, push(15)), (4, push(0.1))], "snap_id bigint, xy array<double>")
-    got = {r.snap_id: r.cluster_id for r in postures.cluster_postures(df, 4).collect()}
-    z, k = postures._complex([push(0), push(7.5), push(15)], 4)
-    d = postures.aligned(z, k, z, k)
-    assert d[0, 1] <= 4 < d[0, 2]
-    assert got[1] == got[4] == 1  # each cluster's members are all alike to each other
-    assert got.get(3) != 1
-
-
-def test_medoids_against_brute_force(spark):
-    rng = np.random.default_rng(6)
-    shapes = [rng.uniform(-80, 80, (6, 2)) for _ in range(3)]
-    rows = []
-    for i in range(460):
-        k = 0 if i < 400 else 1 if i < 458 else 2
-        p = turned(rng, shapes[k], 0.2 + 0.8 * rng.random() if k < 2 else 0).ravel().tolist()
-        if i % 23 == 7:
-            p[2 * (i % 6)] = None
-        rows.append((i + 1, p, k))
-    df = spark.createDataFrame(rows, "snap_id bigint, xy array<double>, cluster_id bigint").repartition(3)
-    z, known = postures._complex([r[1] for r in rows], 6)
-    z = postures._centre(z, known)
-    kind = np.array([r[2] for r in rows])
-    for small in (10, 1000):
-        got = {(r.cluster_id, r.snap_id): r.dist for r in postures.medoids(df.select("snap_id", "cluster_id"), df, 6, small=small).collect()}
-        assert len(got) == len(rows)
-        for k in range(3):
-            at = np.flatnonzero(kind == k)
-            d = postures.aligned(z[at], known[at], z[at], known[at])
-            m = min(range(len(at)), key=lambda i, d=d: (round(d[i].sum(), 6), i))
-            assert all(math.isclose(got[(k, int(a) + 1)], d[j, m], abs_tol=1e-5) for j, a in enumerate(at))
-            assert d[m].sum() < d[0].sum() or k == 2
-    # the bound stays below the exact sum and rules some out
-    at = np.flatnonzero((kind == 0) & known.all(1))
-    xy = [rows[i][1] for i in at]
-    y, a, b = postures._offsets(xy, xy, 6)
-    q = (y**2).sum(1)
-    low, _ = postures.lower_mean(y, a, b, np.r_[len(y), q.sum(), (q**2).sum(), y.sum(0), q @ y, (y.T @ y).ravel()], a.min(), b.max(), 6)
-    exact = postures.aligned(z[at], known[at], z[at], known[at]).sum(1)
-    assert (low <= exact + 1e-6).all() and (low > exact.min()).any()
-    assert postures.medoids(df.select("snap_id", "cluster_id").limit(0), df, 6).count() == 0
-
-
 def test_hmm_counts_every_transition(spark):
     labels = np.random.default_rng(8).integers(-1, 3, 50).tolist()
     f = spark.createDataFrame([("a", i, v) for i, v in enumerate(labels)] + [("b", 3, 1), ("b", 40, 2)], "session_id string, frame bigint, label int")
