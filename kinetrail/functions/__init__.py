@@ -1 +1 @@
-
+"""Scalar functions that Spark lacks: tail probabilities of the usual distributions."""

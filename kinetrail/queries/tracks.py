@@ -80,7 +80,7 @@ BINS = (
     + """,
 sw AS (SELECT session_id, greatest(1, CAST(round_even(coalesce(fps, 30) / 10, 0) AS INT)) AS win FROM se),
 nf AS (SELECT session_id, max(frame) + 1 AS n FROM p GROUP BY 1),
-q AS (SELECT p.*, frame // win AS bin FROM p JOIN sw USING (session_id) JOIN nf USING (session_id) WHERE frame // win < n // win),
+q AS (SELECT p.*, win, frame // win AS bin FROM p JOIN sw USING (session_id) JOIN nf USING (session_id) WHERE frame // win < n // win),
 bm AS (SELECT session_id, bodypart, bin, avg(x) AS x, avg(y) AS y FROM q GROUP BY ALL),
 v AS (SELECT session_id, bodypart, bin, CASE WHEN lag(bin) OVER w = bin - 1 THEN sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) END AS velocity FROM bm WINDOW w AS (PARTITION BY session_id, bodypart ORDER BY bin))"""
 )
