@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.operators.bouts import rle
+from kinetrail.plans.runtime import join_dim
+from kinetrail.plans.sequence import beside, home, in_shards, running
 
 #: The name of what is left of the arena, by paradigm.
 LEFTOVER = {
@@ -57,21 +59,31 @@ def parse(text: str) -> Arena:
     )
 
 
-def resolve(arena: Arena, session: str) -> Arena:
-    """The shapes of one session: the reference, moved by its ``translate``, replaced by its ``shapes`` when it overrides, with
-    its own roles."""
+def resolve(arena: Arena | None, session: str) -> Arena:
+    """The shapes of one session: the reference; all of it, the boundary too, moved by its ``translate``, or replaced by its ``shapes``
+    when it overrides; with its own roles in either case. No arena has no shapes."""
+    if arena is None:
+        return Arena()
     own = arena.per_session.get(session) or {}
-    regions, objects = arena.regions, arena.objects
+    boundary, regions, objects = arena.boundary, arena.regions, arena.objects
     if own.get("mode") == "override":
         new = parse(json.dumps({"reference_shapes": own.get("shapes") or {}}))
-        regions, objects = new.regions, new.objects
+        boundary, regions, objects = new.boundary, new.regions, new.objects
     elif own.get("mode") == "transform":
         dx, dy = own.get("translate") or (0, 0)
         move = lambda s: Shape(s.name, tuple((x + dx, y + dy) for x, y in s.vertices), s.role)
-        regions, objects = tuple(map(move, regions)), tuple(map(move, objects))
+        boundary, regions, objects = move(boundary) if boundary else None, tuple(map(move, regions)), tuple(map(move, objects))
     roles = own.get("role_overrides") or {}
     role = lambda s: Shape(s.name, s.vertices, roles.get(s.name, s.role))
-    return Arena(arena.paradigm, arena.boundary, tuple(map(role, regions)), tuple(map(role, objects)))
+    return Arena(arena.paradigm, boundary, tuple(map(role, regions)), tuple(map(role, objects)))
+
+
+def by_session(arena: Arena, session: Column, of) -> Column:
+    """A column of each session's own arena: ``of`` makes it from an arena; sessions without an entry of their own use the reference."""
+    c = of(resolve(arena, ""))
+    for name in sorted(arena.per_session):
+        c = F.when(session == name, of(resolve(arena, name))).otherwise(c)
+    return c
 
 
 def inside(shape: Shape, x: Column, y: Column) -> Column:
@@ -130,10 +142,9 @@ def alternation(v: DataFrame, arms: list[str]) -> DataFrame:
     """Entries into arms and the share of successive triplets of three different arms, in percent; null below three entries."""
     if len(arms) < 3:
         raise ValueError("alternation needs three arms")
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("session_id").orderBy("start_frame")
-    e = v.where(F.col("region").isin(arms)).select("session_id", "region", F.lead("region", 1).over(w).alias("b"), F.lead("region", 2).over(w).alias("c"))
+    w = in_shards(["session_id"], "start_frame")
+    e = beside(v.where(F.col("region").isin(arms)).select("session_id", "start_frame", "region"), ["session_id"], "start_frame", 0, 2)
+    e = home(e.select("*", F.lead("region", 1).over(w).alias("b"), F.lead("region", 2).over(w).alias("c")))
     good = (F.col("region") != F.col("b")) & (F.col("b") != F.col("c")) & (F.col("region") != F.col("c"))
     return e.groupBy("session_id").agg(F.count("*").alias("n_arm_entries"), F.avg(F.when(F.col("c").isNotNull(), good.cast("double") * 100)).alias("spontaneous_alternation_pct"))
 
@@ -219,3 +230,102 @@ def outline(points: DataFrame, by: str) -> DataFrame:
     p = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(by, "x", "y").withColumn("_s", F.pmod(F.xxhash64("x", "y"), F.lit(256)))
     part = p.groupBy(by, "_s").applyInPandas(lambda pdf: thin(pdf), schema)
     return part.groupBy(by).applyInPandas(run, schema)
+
+
+def centroid_points(pose: DataFrame) -> DataFrame:
+    """session_id, frame, x, y: the mean over the body parts that are known."""
+    p = pose.where("x is not null and y is not null")
+    return p.groupBy("session_id", "frame").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def nose_points(pose: DataFrame, names: tuple[str, ...] = ("nose", "snout")) -> DataFrame:
+    """session_id, frame, x, y of the nose, the first of the names that a frame has."""
+    rank = F.coalesce(*[F.when(F.lower("bodypart") == n, i) for i, n in enumerate(names)])
+    p = pose.where("x is not null and y is not null").withColumn("_r", rank).where("_r is not null")
+    return p.groupBy("session_id", "frame").agg(F.min_by(F.struct("x", "y"), "_r").alias("p")).select("session_id", "frame", "p.x", "p.y")
+
+
+def thresholds(sessions: DataFrame, spine: DataFrame, given: float | None = None, default: float = 50.0) -> DataFrame:
+    """session_id, threshold: what is given, else the session's median spine length, else ``default`` px."""
+    if given is not None:
+        return sessions.select("session_id").distinct().withColumn("threshold", F.lit(float(given)))
+    return sessions.select("session_id").distinct().join(spine.select("session_id", "spine"), "session_id", "left").select("session_id", F.coalesce("spine", F.lit(default)).alias("threshold"))
+
+
+def interactions(nose: DataFrame, arena: Arena, threshold: Column) -> DataFrame:
+    """Bouts in which the nose is inside an object or within ``threshold`` of its edge: session_id, object, start_frame, run_len."""
+    x, y = F.col("x"), F.col("y")
+    near = F.array_compact(F.array(*[F.when(inside(o, x, y) | (edge_distance(o, x, y) <= threshold), F.lit(o.name)) for o in arena.objects]))
+    f = nose.select(F.struct("session_id").alias("_s"), "frame", F.explode(near).alias("label"))
+    # objects may overlap, so each has a sequence of its own
+    f = f.select(F.struct(F.col("_s.session_id").alias("s"), F.col("label").alias("o")).alias("session_id"), "frame", F.lit(1).alias("label"))
+    return rle(f).select(F.col("session_id.s").alias("session_id"), F.col("session_id.o").alias("object"), "start_frame", "run_len")
+
+
+def interaction_summary(bouts: DataFrame, fps: float) -> DataFrame:
+    """session_id, object, total_interaction_time_sec, object_interaction_bouts, longest_sec, latency_sec."""
+    return bouts.groupBy("session_id", "object").agg(
+        (F.sum("run_len") / fps).alias("total_interaction_time_sec"), F.count("*").alias("object_interaction_bouts"), (F.max("run_len") / fps).alias("longest_sec"), (F.min("start_frame") / fps).alias("latency_sec")
+    )
+
+
+def roles(shapes: tuple[Shape, ...]) -> dict[str, str]:
+    return {s.name: s.role for s in shapes if s.role}
+
+
+def outside_boundary(points: DataFrame, arena: Arena) -> DataFrame | None:
+    """Share of frames outside the boundary by session; None where no boundary was traced."""
+    if arena.boundary is None:
+        return None
+    return points.groupBy("session_id").agg(F.avg((~inside(arena.boundary, F.col("x"), F.col("y"))).cast("double")).alias("nose_outside_boundary"))
+
+
+#: The indices of the paradigms, from the times in shapes of two roles.
+INDICES = [
+    ("discrimination_index", "novel", "familiar"),
+    ("preference_index", "paired", "unpaired"),
+    ("sociability_index", "stranger", "empty"),
+    ("social_novelty_index", "novel_stranger", "stranger"),
+]
+
+
+def role_indices(times: DataFrame, role_of: dict[str, str], shape: str = "region") -> DataFrame:
+    """session_id, metric, value of every index of which both roles are there: (a - b) / (a + b); others are left out, as are sessions
+    without any time in both. ``times``: session_id, shape, time_sec."""
+    has = set(role_of.values())
+    rows = []
+    for name, a, b in INDICES:
+        if {a, b} <= has:
+            of = lambda r: F.sum(F.when(F.col(shape).isin([k for k, v in role_of.items() if v == r]), F.col("time_sec")).otherwise(0.0))
+            rows.append(F.struct(F.lit(name).alias("metric"), F.try_divide(of(a) - of(b), of(a) + of(b)).alias("value")))
+    if not rows:
+        return times.select("session_id", F.lit("").alias("metric"), F.lit(0.0).alias("value")).limit(0)
+    return times.groupBy("session_id").agg(F.array(*rows).alias("m")).select("session_id", F.explode("m").alias("m")).select("session_id", "m.*").where("value is not null")
+
+
+def arm_metrics(v: DataFrame, role_of: dict[str, str], fps: float) -> DataFrame | None:
+    """Open and closed arm measures by roles; None where one of the two roles is missing."""
+    pick = lambda r: [k for k, x in role_of.items() if x == r]
+    return open_arms(v, pick("open_arm"), pick("closed_arm"), fps) if pick("open_arm") and pick("closed_arm") else None
+
+
+def crossings(v: DataFrame, fps: float) -> DataFrame:
+    """Every entry into a region with the number of entries of its session so far: session_id, region, at_sec, crossings."""
+    c = running(v.withColumn("_one", F.lit(1)), ["session_id"], "start_frame", ["start_frame"], "sum", "_one", "_b")
+    return c.select("session_id", "region", (F.col("start_frame") / fps).alias("at_sec"), (F.coalesce("_b", F.lit(0)) + 1).alias("crossings"))
+
+
+def ethogram(frames: DataFrame, parts: int = 20) -> DataFrame:
+    """The most frequent label of each part of a session (ties: the first in order) and its share: session_id, part, label, share."""
+    top = frames.groupBy("session_id").agg((F.max("frame") + 1).alias("_n"))
+    r = join_dim(frames.where("label is not null").select("session_id", "frame", "label"), top, ["session_id"], "inner").withColumn("part", F.floor(F.col("frame") * parts / F.col("_n")).cast("int"))
+    c = r.groupBy("session_id", "part", "label").agg(F.count("*").alias("n"))
+    best = c.groupBy("session_id", "part").agg(F.min_by(F.struct("label", "n"), F.struct((-F.col("n")).alias("k"), "label")).alias("m"), F.sum("n").alias("t"))
+    return best.select("session_id", "part", "m.label", (F.col("m.n") / F.col("t")).alias("share"))
+
+
+def paired(df: DataFrame, member: str, level: str, value: str, a, b) -> DataFrame:
+    """member, before, after, change of the members that have both levels (means, where a level has several rows)."""
+    of = lambda x: F.avg(F.when(F.col(level) == x, F.col(value)))
+    p = df.where(F.col(member).isNotNull()).groupBy(member).agg(of(a).alias("before"), of(b).alias("after")).where("before is not null and after is not null")
+    return p.withColumn("change", F.col("after") - F.col("before"))

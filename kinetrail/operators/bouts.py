@@ -6,13 +6,12 @@ results of the same schema. Inputs may carry further columns; they are dropped.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinetrail.plans.sequence import SHARD
+from kinetrail.plans.ranks import quantiles
+from kinetrail.plans.sequence import SHARD, beside, home, in_shards, running
 
 
 def rle(frames: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -30,21 +29,27 @@ def rle(frames: DataFrame, shard: int = SHARD) -> DataFrame:
     return inner.unionByName(outer.select("session_id", "label", "start_frame", (F.col("_b") - F.col("start_frame") + 1).alias("run_len")))
 
 
+def _merged(b: DataFrame, keys: list[str]) -> DataFrame:
+    """Intervals (keys, start, end) joined where one starts no later than one frame after the running end; in shards of the start."""
+    b = running(b, keys, "start", ["start", "end"], "max", "end", "_top")
+    b = b.withColumn("_new", F.when(F.col("start") <= F.col("_top") + 1, 0).otherwise(1))
+    b = running(b, keys, "start", ["start", "end"], "sum", "_new", "_before").withColumn("_g", F.coalesce("_before", F.lit(0)) + F.col("_new"))
+    return b.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
+
+
 def merge(bouts: DataFrame, labels: list) -> DataFrame:
     """Bouts of the given labels merged where one starts no later than one frame after the running end: session_id, start, end
     (exclusive)."""
     b = bouts.where(F.col("label").isin(labels)).select("session_id", F.col("start_frame").alias("start"), (F.col("start_frame") + F.col("run_len")).alias("end"))
-    w = W.partitionBy("session_id").orderBy("start", "end")
-    top = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    b = b.withColumn("_new", F.when(F.col("start") <= top + 1, 0).otherwise(1)).withColumn("_g", F.sum("_new").over(w))
-    return b.groupBy("session_id", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
+    return _merged(b, ["session_id"])
 
 
 def metrics(bouts: DataFrame, groups: dict[str, list], fps: float) -> DataFrame:
     """Per session and behaviour group: frequency, total_duration, mean_bout, latency in seconds; zeros (latency null) where a
-    session has no bout of the group."""
-    parts = [merge(bouts, labels).withColumn("behaviour", F.lit(name)) for name, labels in groups.items()]
-    m = reduce(lambda a, b: a.unionByName(b), parts)
+    session has no bout of the group. A label may be in several groups; all groups are merged in one pass."""
+    of = F.array_compact(F.array(*[F.when(F.col("label").isin(labels), F.lit(name)) for name, labels in groups.items()]))
+    b = bouts.select("session_id", F.col("start_frame").alias("start"), (F.col("start_frame") + F.col("run_len")).alias("end"), F.explode(of).alias("behaviour"))
+    m = _merged(b, ["session_id", "behaviour"])
     m = m.groupBy("session_id", "behaviour").agg(F.count("*").alias("frequency"), F.sum(F.col("end") - F.col("start")).alias("_n"), F.min("start").alias("_first"))
     every = bouts.select("session_id").distinct().withColumn("behaviour", F.explode(F.array(*[F.lit(g) for g in groups])))
     m = every.join(m, ["session_id", "behaviour"], "left")
@@ -58,6 +63,52 @@ def metrics(bouts: DataFrame, groups: dict[str, list], fps: float) -> DataFrame:
     )
 
 
+def check_animals(animals: DataFrame, key: str, needed: list[str]) -> DataFrame:
+    """Refuses a table of animals that is empty, lacks a column or names one twice."""
+    missing = [c for c in [key, *needed] if c not in animals.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    if animals.isEmpty():
+        raise ValueError("no animals")
+    if not animals.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError(f"{key} is not unique")
+    return animals
+
+
+def usable(rows: DataFrame, key: list[str], away: DataFrame | None = None, weight: str | None = None, label: str = "label") -> DataFrame:
+    """Rows that are no noise (-1), not in ``away`` (anti join on the key) and of a weight above 0."""
+    rows = rows.where(F.col(label).isNotNull() & (F.col(label).cast("string") != "-1"))
+    if weight:
+        rows = rows.where(F.col(weight) > 0)
+    return rows.join(away.select(*key).distinct(), key, "left_anti") if away is not None else rows
+
+
+def assign(mapping: DataFrame, label, behaviour: str) -> DataFrame:
+    """A mapping (label, behaviour, ignored) in which a label has a behaviour; it is no longer ignored."""
+    new = mapping.sparkSession.createDataFrame([(label, behaviour, False)], mapping.schema)
+    return mapping.where(F.col("label") != F.lit(label)).unionByName(new)
+
+
+def ignore(mapping: DataFrame, label) -> DataFrame:
+    new = mapping.sparkSession.createDataFrame([(label, None, True)], mapping.schema)
+    return mapping.where(F.col("label") != F.lit(label)).unionByName(new)
+
+
+def rename(mapping: DataFrame, old: str, new: str) -> DataFrame:
+    return mapping.withColumn("behaviour", F.when(F.col("behaviour") == old, new).otherwise(F.col("behaviour")))
+
+
+def delete(mapping: DataFrame, behaviour: str) -> DataFrame:
+    """The labels of a behaviour are pending again."""
+    return mapping.where(F.col("behaviour").isNull() | (F.col("behaviour") != behaviour))
+
+
+def session_stem(path: Column) -> Column:
+    """The session of a bout file: its name without extension and the suffix of bout files."""
+    name = F.regexp_replace(F.regexp_extract(path, "([^/]+)$", 1), r"\.[^.]+$", "")
+    return F.regexp_replace(name, r"_bout_lengths(_hmm)?$", "")
+
+
 def session_duration(bouts: DataFrame, fps: float) -> DataFrame:
     return bouts.groupBy("session_id").agg((F.max(F.col("start_frame") + F.col("run_len")) / fps).alias("duration_s"))
 
@@ -72,8 +123,9 @@ def transitions(bouts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts of changes between successive bouts, those to the same label left out: (by), from_label, to_label, n. The bout
     after each is the one that starts first behind it."""
     by = by or []
-    w = W.partitionBy("session_id").orderBy("start_frame")
-    t = bouts.select("session_id", *[c for c in by if c != "session_id"], "start_frame", F.col("label").alias("from_label"), F.lead("label").over(w).alias("to_label"))
+    b = beside(bouts.select("session_id", *[c for c in by if c != "session_id"], "start_frame", "label"), ["session_id"], "start_frame", 0, 1)
+    w = in_shards(["session_id"], "start_frame")
+    t = home(b.select("*", F.col("label").alias("from_label"), F.lead("label").over(w).alias("to_label")))
     return t.where("from_label <> to_label").groupBy(*by, "from_label", "to_label").agg(F.count("*").alias("n"))
 
 
@@ -100,8 +152,9 @@ def keep_durations(bouts: DataFrame, fps: float, least_s: float, most_s: float)
 
 
 def dwell(bouts: DataFrame, fps: float) -> DataFrame:
-    d = F.col("run_len") / fps
-    return bouts.groupBy("label").agg(F.percentile(d, 0.25).alias("q25"), F.percentile(d, 0.5).alias("q50"), F.percentile(d, 0.75).alias("q75"), F.max(d).alias("longest"))
+    d = bouts.select("label", (F.col("run_len") / fps).alias("d"))
+    q = quantiles(d, ["label"], "d", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return q.join(d.groupBy("label").agg(F.max("d").alias("longest")), "label")
 
 
 def combined(values: DataFrame, group: str, measures: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from kinetrail.functions import tails
 from kinetrail.operators import stats as S
+from kinetrail.plans.ranks import cumulated
 from kinetrail.plans.runtime import cut
 
 LEAST = 3
@@ -150,13 +151,7 @@ def one_sample(df: DataFrame, group: str, value: str, reference: float, *, ranks
 
 def ranks_by(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Distinct values of each group of ``by`` with their number of rows and average rank within the group."""
-    h = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n")).withColumn("_r", S._range(F.col("v")))
-    sums = h.groupBy(*by, "_r").agg(F.sum("n").alias("_n"))
-    line = W.partitionBy(*by).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)  # one row a range
-    sums = sums.select(*by, "_r", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(*by, "_r").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    h = h.join(sums, [*by, "_r"])
-    return h.select(*by, "v", "n", (F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + (F.col("n") + 1) / 2).alias("avg_rank"))
+    return cumulated(df, by, value).select(*by, "v", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("avg_rank"))
 
 
 def cluster_kruskal(df: DataFrame, cluster: str, group: str, value: str, least: int = 2) -> DataFrame:

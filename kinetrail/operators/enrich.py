@@ -6,10 +6,10 @@ Bout and bin meet in equi-joins: a bout is expanded to the bins it covers, never
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinetrail.plans.sequence import halo, home, in_shards
+from kinetrail.plans.ranks import quantiles
+from kinetrail.plans.sequence import beside, halo, home, in_shards
 
 
 def bout_bins(bouts: DataFrame, bins: DataFrame, win: int, aggs: dict[str, Column], offset: int = 0) -> DataFrame:
@@ -53,9 +53,10 @@ def directedness(bouts: DataFrame, points: DataFrame, fps: float, least: int = 5
 def approach_avoid(bouts: DataFrame, distance: DataFrame, near: float, straight: float = 0.7) -> DataFrame:
     """Directed bouts that end within ``near`` and are followed by a slower bout (approach), or start within it and end farther
     (avoid). ``bouts``: from ``directedness``; ``distance``: session_id, frame, dist. Returns one row per event."""
-    w = W.partitionBy("session_id").orderBy("start_frame")
-    mid = bouts.groupBy("session_id").agg(F.percentile("mean_speed", 0.5).alias("_mid"))
-    b = bouts.select("*", F.lead("label").over(w).alias("next_label"), F.lead("mean_speed").over(w).alias("next_speed")).join(mid, "session_id")
+    w = in_shards(["session_id"], "start_frame")
+    mid = quantiles(bouts, ["session_id"], "mean_speed", {"_mid": 0.5})
+    b = beside(bouts, ["session_id"], "start_frame", 0, 1)
+    b = home(b.select("*", F.lead("label").over(w).alias("next_label"), F.lead("mean_speed").over(w).alias("next_speed"))).join(mid, "session_id")
     b = b.where((F.col("straightness_ratio") >= straight) & (F.col("mean_speed") >= F.col("_mid"))).withColumn("end_frame", F.col("start_frame") + F.col("run_len") - 1)
     at = lambda f, n: distance.select("session_id", F.col("frame").alias(f), F.col("dist").alias(n))
     b = b.join(at("start_frame", "d0"), ["session_id", "start_frame"], "left").join(at("end_frame", "d1"), ["session_id", "end_frame"], "left")
@@ -73,6 +74,41 @@ def kinematics(bouts: DataFrame, table: DataFrame | None) -> DataFrame:
     return bouts.join(table.select(F.col("cluster_id").alias("label"), *cols), "label", "left")
 
 
+def toward(bouts: DataFrame, distances: dict[str, DataFrame], near: float, kind: str = "object", straight: float = 0.7) -> DataFrame:
+    """``approach_avoid`` for several targets: the events of each with ``target_<kind>``; no target gives no events of that schema."""
+    parts = [approach_avoid(bouts, d, near, straight).withColumn(f"target_{kind}", F.lit(name)) for name, d in sorted(distances.items())]
+    out = parts[0] if parts else approach_avoid(bouts, bouts.select("session_id", F.col("start_frame").alias("frame"), F.lit(0.0).alias("dist")).limit(0), near, straight).limit(0).withColumn(f"target_{kind}", F.lit(""))
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def cluster_kinematics(frames: DataFrame, points: DataFrame, ends: DataFrame, fps: float) -> DataFrame:
+    """Mean centroid speed in px/s, mean body elongation in px and mean absolute angular velocity in rad/s of every label.
+
+    ``frames``: session_id, frame, label; ``points``: session_id, frame, x, y of the centroid; ``ends``: session_id, frame, hx, hy, tx, ty of
+    the spine. Steps are between successive frames; a missing frame or part gives none.
+    """
+    import math
+
+    p = points.select("session_id", "frame", "x", "y").join(ends.select("session_id", "frame", "hx", "hy", "tx", "ty"), ["session_id", "frame"], "full")
+    p = halo(p.withColumn("heading", F.atan2(F.col("hy") - F.col("ty"), F.col("hx") - F.col("tx"))), "frame", 4)
+    w = in_shards(["session_id"], "frame")
+    prev = F.lag("frame").over(w) == F.col("frame") - 1
+    turn = F.col("heading") - F.lag("heading").over(w)
+    turn = F.abs(turn - 2 * math.pi * F.floor((turn + math.pi) / (2 * math.pi)))
+    p = p.select("*", F.when(prev, F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) * fps).alias("speed"), F.when(prev, turn * fps).alias("turn"), F.hypot(F.col("hx") - F.col("tx"), F.col("hy") - F.col("ty")).alias("long"))
+    j = home(p).join(frames.where("label is not null").select("session_id", "frame", "label"), ["session_id", "frame"])
+    return j.groupBy(F.col("label").alias("cluster_id")).agg(F.avg("speed").alias("mean_speed_px_s"), F.avg("long").alias("mean_body_elongation_px"), F.avg("turn").alias("mean_angular_velocity_rad_s"))
+
+
+def cluster_confidence(frames: DataFrame, visibility: DataFrame, least: float = 0.6) -> DataFrame:
+    """label, n, mean_visibility, low: the mean likelihood of each cluster's bins, flagged where it is below ``least``. Both inputs:
+    session_id, bin."""
+    j = frames.where("label is not null").join(visibility.select("session_id", "bin", "mean_visibility"), ["session_id", "bin"])
+    return j.groupBy("label").agg(F.count("mean_visibility").alias("n"), F.avg("mean_visibility").alias("mean_visibility")).withColumn("low", F.col("mean_visibility") < least)
+
+
 STAMP = r"(\d{8}_\d{6})"
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.operators.features import TRACK, _before, pair_distances
+from kinetrail.plans.ranks import quantiles
 from kinetrail.plans.runtime import join_dim
 from kinetrail.plans.sequence import halo, home, in_shards
 
@@ -64,13 +65,13 @@ def spine_ends(parts: DataFrame) -> DataFrame:
 
 
 def spine_length(frames: DataFrame, ends: DataFrame, floor: float = SPINE_FLOOR) -> DataFrame:
-    """session_id, spine (median length in px over the frames that have both ends, at least ``floor``; null median: no row)."""
+    """session_id, spine (median length, in hundredths of px, over the frames that have both ends, at least ``floor``; null median: no row)."""
     p = join_dim(frames.select(*TRACK, "frame", "x", "y"), ends, ["session_id"], "inner").where("bodypart = head or bodypart = tail")
     at = lambda c: F.max(F.when(F.col("bodypart") == F.col(c), F.struct("x", "y")))
     f = p.where("x is not null and y is not null").groupBy("session_id", "frame").agg(at("head").alias("h"), at("tail").alias("t"))
     f = f.withColumn("d", F.hypot(F.col("h.x") - F.col("t.x"), F.col("h.y") - F.col("t.y"))).where("d is not null")
-    # the median over a session's lengths to 1/1000 of the ranks: its state doesn't grow with the session
-    return f.groupBy("session_id").agg(F.greatest(F.lit(floor), F.percentile_approx("d", 0.5, 1000)).alias("spine"))
+    m = quantiles(f.withColumn("d", F.round("d", 2)), ["session_id"], "d", {"m": 0.5})
+    return m.select("session_id", F.greatest(F.lit(floor), F.col("m")).alias("spine"))
 
 
 def require_bins(b: DataFrame) -> DataFrame:

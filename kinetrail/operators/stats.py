@@ -13,15 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinetrail.plans.ranks import quantiles, value_range
+from kinetrail.plans.runtime import join_dim, settled
+
 
 def _present(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
 
 
-def _range(v: Column) -> Column:
-    """A coarse key that grows with the value, fine enough to spread any column: sign, exponent and five bits of the mantissa."""
-    e = F.floor(F.log2(F.abs(v) + 1e-300) * 32)
-    return F.when(v < 0, -e - 40_000).when(v > 0, e + 40_000).otherwise(0)
+_range = value_range
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
@@ -124,8 +124,8 @@ def welch(df: DataFrame, group: str, value: str) -> DataFrame:
 def levene(df: DataFrame, group: str, value: str) -> DataFrame:
     """Brown-Forsythe W: one-way F of the distances from the group medians."""
     p = _present(df, group, value)
-    m = p.groupBy("g").agg(F.percentile("v", 0.5).alias("m"))
-    return anova(p.join(F.broadcast(m), "g").withColumn("z", F.abs(F.col("v") - F.col("m"))), "g", "z").select(F.col("f").alias("w"), "df_between", "df_within")
+    m = settled(quantiles(p, ["g"], "v", {"m": 0.5}))
+    return anova(join_dim(p, m, ["g"], "inner").withColumn("z", F.abs(F.col("v") - F.col("m"))), "g", "z").select(F.col("f").alias("w"), "df_between", "df_within")
 
 
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -191,8 +191,8 @@ def mean_ci(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def representative(df: DataFrame, group: str, member: str, value: str) -> DataFrame:
     """The member nearest to its group's median; ties by the member."""
-    m = df.groupBy(group).agg(F.percentile(value, 0.5).alias("_m"))
-    return df.where(F.col(value).isNotNull()).join(F.broadcast(m), group).groupBy(group).agg(F.min_by(member, F.struct(F.abs(F.col(value) - F.col("_m")), F.col(member))).alias(member))
+    m = settled(quantiles(df.where(F.col(group).isNotNull()), [group], value, {"_m": 0.5}))
+    return join_dim(df.where(F.col(value).isNotNull()), m, [group], "inner").groupBy(group).agg(F.min_by(member, F.struct(F.abs(F.col(value) - F.col("_m")), F.col(member))).alias(member))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
