@@ -12,11 +12,10 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinetrail.llm.quality import analyse
 from kinetrail.llm.tokens import encoder, slices, vocabulary
 from kinetrail.plans.runtime import cut, nan_to_null, table
 
@@ -26,20 +25,31 @@ LEAST_QUALITY = 0.05
 RANGE_DOCS = 50_000
 
 
+def quality(text: Column) -> Column:
+    """Weight of a document: the share of letters among its characters that are no white space, times the share of its words that
+    are different from those before in a short stretch (its first appearance of each pair of neighbours), at least
+    ``LEAST_QUALITY``. An expression of the row in any script; null and blank texts have the least."""
+    solid = F.length(F.regexp_replace(text, r"\s+", ""))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]+", ""))
+    words = F.split(F.lower(F.trim(text)), r"\s+")
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    fresh = F.coalesce(F.try_divide(F.size(F.array_distinct(pairs)).cast("double"), F.size(pairs)), F.lit(1.0))
+    return F.round(F.greatest(F.lit(LEAST_QUALITY), F.coalesce(F.try_divide(letters.cast("double"), solid) * fresh, F.lit(0.0))), 9)
+
+
 def size_and_quality(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, source, n_tokens and quality (1 less the share of list, table and junk characters, at least ``LEAST_QUALITY``)."""
+    """doc_id, source, n_tokens and quality of every document; tokens are counted, their ids are not kept."""
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("n_tokens", pa.int64()), ("quality", pa.float64())])
 
     def run(batches):
         enc = encoder(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                size = [len(x) for x in enc.encode_batch(texts[a:b])]
-                good = [max(LEAST_QUALITY, 1 - sum(analyse(t)[0].values())) if t and t.strip() else LEAST_QUALITY for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("source").slice(a, b - a), pa.array(size, pa.int64()), pa.array(good)], schema=schema)
+            size = [n for a, b in slices(texts) for n in enc.count_batch(texts[a:b])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(size, pa.int64()), batch.column("quality")], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text").mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, quality double")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text", quality(F.col("text")).alias("quality"))
+    return rows.mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, quality double")
 
 
 def plan(targets: list[dict], tokens: dict[str, int], total: float | None = None) -> list[dict]:
@@ -107,17 +117,19 @@ def targets(spark, sf_dir: str) -> list[dict]:
     return [r.asDict() for r in t.orderBy("source").collect()]
 
 
-def _mixture(spark, sf_dir: str) -> DataFrame:
-    wanted = targets(spark, sf_dir)
+def sized_documents(spark, sf_dir: str, wanted: list[dict]) -> DataFrame:
+    """The documents of the wanted sources with their sizes and weights, written once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").where(F.col("source").isin([t["source"] for t in wanted]))
-    return mix(cut(size_and_quality(docs, vocabulary())), wanted)
+    return cut(size_and_quality(docs, vocabulary()))
 
 
 def p7_mixture(spark, sf_dir: str) -> DataFrame:
     """The documents of the mixture and how often each is used."""
-    return _mixture(spark, sf_dir)
+    wanted = targets(spark, sf_dir)
+    return mix(sized_documents(spark, sf_dir, wanted), wanted)
 
 
 def p7_shares(spark, sf_dir: str) -> DataFrame:
     """The target and the real share of every source."""
-    return shares(_mixture(spark, sf_dir), targets(spark, sf_dir))
+    wanted = targets(spark, sf_dir)
+    return shares(mix(sized_documents(spark, sf_dir, wanted), wanted), wanted)

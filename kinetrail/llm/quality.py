@@ -1,14 +1,15 @@
 """Per-document text quality statistics, and which documents are natural prose and which are lists, tables or junk.
 
-Every line (or, in a text of one long line, every run) is told apart by combined rules on its words, separators, symbols and
-repetitions, and the classes' characters are added up over the whole text. All of it is one pass over the rows without a
-shuffle.
+Two passes. The first counts, over the lines of all documents, in how many lines that are built like sentences each word stands
+and in how many others; the words that stand in a fixed share of the former, and clearly less often in the latter, are the common
+words of the corpus, whatever its languages. The second tells every line (or, in a text of one long line, every run) apart by
+combined rules on its separators, symbols, repetitions and common words, and adds the classes' characters up over the whole text.
+No word list of any language is built in, and what is written in other scripts is judged by the same rules.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import pandas as pd
@@ -17,25 +18,12 @@ from pyspark.sql import functions as F
 
 from kinetrail.plans.runtime import table
 
-#: Frequent function words by language, without those that stand in list items too (the, le, la, der, el).
-COMMON = {
-    "en": "a an and are as at be because been but by can could did do does for from had has have he her his how i if in into is it its "
-    "may me more my no not of on one only or our out over she so some than that their them then there these they this to up was we were what "
-    "when where which while who whoever why will with would you your after before during until near about between both same than too very well only also here just once away again "
-    "neither nor either though although yet still should every each whether longer lower since without within",
-    "de": "aber als am an auch auf aus bei bis da dass dem den des deshalb die doch durch ein eine einem einen einer eines er es etwa für gegen hat hier ich im in ist "
-    "ja kann kaum kein keine man mehr mit nach nicht noch nur ob oder sehr sei sein sich sie sind so um und uns unter vom von vor war waren was weil wenn wer "
-    "werden wie wir wird wo wurde wurden zu zum zur über das der lässt eher jedes nichts alle bevor während",
-    "fr": "a ai au aux avec ce cela ces cette comme dans de des donc du elle en est et était eu il ils je jusqu l les leur lui mais même n ne nous on ont ou où par pas plus plutôt pour "
-    "qu que qui sa sans se ses si son sont sous sur un une vers y été fallu après avant chez aucun tout tous toute encore peu près",
-    "es": "a al algo ante antes aunque bien cada como con cuando de del desde donde e en entre era es esa ese eso esta está este esto fue ha hay hasta hubo la las lo los más mi muy "
-    "nada ni no nos o para pero poco por porque que queda qué se ser si sin sobre son su sus también tras todo todas todos un una uno y ya sirve después",
-    "it": "che di e il in non per una un con sono della del si è ma da al",
-    "pt": "que de e o em não para uma um com são da do se é mas ao os as",
-    "nl": "een en het van is dat op te in niet zijn met voor er maar om aan",
-}
-COMMON_WORDS = frozenset(w for ws in COMMON.values() for w in ws.split())
-ARTICLES = frozenset("the le la les l der die das el los las il".split())
+#: A common word stands in this share of the sentence lines or more, so there are no more such words than a line has words on
+#: average over the share; and its share is this many times that among the other lines.
+COMMON_SHARE, COMMON_TIMES = 0.002, 10.0
+#: The ends of sentences in the scripts that have them, and how a word is found.
+SENTENCE_END = r"[.!?\u2026\u3002\uff01\uff1f\u061f\u0964][\"'\u201d\u2019\u00bb)\]]*\\s*$"
+WORD_PATTERN = r"[\\p{L}\\p{M}]+(?:['\u2019][\\p{L}\\p{M}]+)*"
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
@@ -49,6 +37,9 @@ RULE = re.compile(r"^[\s|+:=\-_]*$")
 TAG = re.compile(r"</?t[rdh]\b|</?table")
 #: The letters of a keyboard's rows.
 ROWS = [frozenset("qwertzuiopüå"), frozenset("qwertyuiop"), frozenset("azertyuiop"), frozenset("asdfghjklöäñøæ"), frozenset("yxcvbnm"), frozenset("zxcvbnm")]
+#: Share of a text's characters that stand in lines, or in runs of ``LOOP`` words, seen before: one thing over and over. Shorter runs come
+#: again in any long text.
+MOST_REPEATED, LOOP = 0.65, 12
 ODD = frozenset("$<>{}~`^\\|&!@#%*=")
 LETTER = re.compile(r"[^\W\d_]")
 VOWEL = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûœæåøаеёиоуыэюяаɑ]", re.I)
@@ -81,19 +72,39 @@ def top_ngram(words: list[str], n: int) -> float:
     return min(1.0, c * sum(map(len, gram)) / max(1, sum(map(len, words)))) if c > 1 else 0.0
 
 
+def repeated_ngrams(words: list[str], n: int) -> float:
+    """Share of the words' characters that stand in an n-gram seen before, itself not counted."""
+    seen: set[tuple[str, ...]] = set()
+    again = [False] * len(words)
+    for i in range(len(words) - n + 1):
+        g = tuple(words[i : i + n])
+        if g in seen:
+            again[i : i + n] = [True] * n
+        seen.add(g)
+    total = sum(map(len, words))
+    return sum(len(w) for w, x in zip(words, again, strict=True) if x) / total if total else 0.0
+
+
+LATIN = re.compile(r"^[a-z\u00df-\u00f6\u00f8-\u024f'\u2019]+$")
+
+
 def mash(words: list[str]) -> bool:
-    """Random words: few letters of the alphabet, or words that cannot be spoken."""
-    words = [w for w in words if len(w) > 1]
-    letters = "".join(words).lower()
-    if len(words) < 3 or len(letters) < 16:
+    """Random words: few letters of the alphabet, or words that cannot be spoken. The latter is known of words in Latin script alone;
+    other scripts write vowels in other ways."""
+    words = [w.lower() for w in words if len(w) > 1]
+    letters = "".join(words)
+    if not letters:
         return False
-    if any(row.issuperset(letters) for row in ROWS) or len(letters) >= 30 and len(set(letters)) <= 10 or len(letters) >= 60 and len(set(letters)) <= 11:
+    # of so many letters drawn as a language draws them, more different ones would be expected
+    kinds = len(set(letters))
+    if any(row.issuperset(letters) for row in ROWS) and kinds > 3 or kinds <= 11 * (1 - 0.5 ** (len(letters) / 24)) - 1 and len(letters) > 3 * kinds:
         return True
-    bad = sum(1 for w in words if len(w) > 2 and (not VOWEL.search(w) or re.search(r"[^aeiouyäöüáéíóúàèìòùâêîôûœæåø]{5,}", w.lower())))
-    return bad > 0.3 * len(words)
+    latin = [w for w in words if len(w) > 2 and LATIN.match(w)]
+    bad = sum(1 for w in latin if not VOWEL.search(w) or re.search(r"[^aeiouyäöüáéíóúàèìòùâêîôûœæåø]{5,}", w))
+    return bad > 0.3 * len(words) and bad >= 2
 
 
-def classify(line: str) -> str:
+def classify(line: str, common_words: frozenset[str]) -> str:
     """prose, list, table, junk, or '' where a line alone can't tell (it then goes with its neighbours)."""
     s = line.strip()
     n = _solid(s)
@@ -124,7 +135,7 @@ def classify(line: str) -> str:
         return "table"
     if s.endswith("\\\\") and "&" in s:
         return "table"
-    common = sum(w in COMMON_WORDS for w in lower)
+    common = sum(w in common_words for w in lower)
     share = common / len(words) if words else 0.0
     if "|" in s and share < 0.2 and (s.count("|") >= 2 or re.search(r"\S \| |\| \S", s)):
         return "table"
@@ -134,8 +145,10 @@ def classify(line: str) -> str:
         return "junk"
     if "\t" in s.strip() and share < 0.2:
         return "table"
-    if len(words) >= 12 and (len(set(lower)) <= 0.25 * len(words) or share > 0.85):
+    if len(set(lower)) <= 0.25 * len(words):
         return "junk"
+    if share > 0.8 and letters < 3 * len(words) and len(set(lower)) <= 0.7 * len(words):
+        return "junk"  # nothing but short common words, again and again
     blob = sum(len(b) for b in BLOB.findall(s) if re.search(r"\d", b) or re.search(r"[a-z][A-Z]", b) or "/" in b or "+" in b)
     if blob > 0.5 * n and not re.match(r"^https?://", s):
         return "junk"
@@ -154,15 +167,18 @@ def classify(line: str) -> str:
         return "list"
     if share >= 0.15 and len(words) >= 4 or len(words) >= 3 and END.search(s) and share > 0:
         return "prose"
+    # where the corpus has no common words, or none in this script, sentences are told by their shape
+    if (not common_words or not any(LATIN.match(w) for w in lower)) and not marked and (len(words) >= 4 and END.search(s) or len(words) >= 8):
+        return "prose"
     if len(words) <= 6 and share < 0.15:
         return "bare"
     return "prose" if share >= 0.1 else "bare"
 
 
-def analyse(text: str) -> tuple[dict, dict]:
+def analyse(text: str, common_words: frozenset[str]) -> tuple[dict, dict]:
     """Characters of each class, and the statistics, of a whole text that is not blank."""
     lines = [x for x in re.split(r"[\r\n  ]+", text) if x.strip()]
-    kinds = [classify(x) for x in lines]
+    kinds = [classify(x, common_words) for x in lines]
     size = [_solid(x) for x in lines]
     n = len(lines)
     # bare short lines are items where they come in a row of three, else they go with what is around them (a heading, the end of a wrapped line)
@@ -191,12 +207,12 @@ def analyse(text: str) -> tuple[dict, dict]:
         chars[k or "prose"] += c
     words = WORD.findall(text)
     lower = [w.lower() for w in words]
-    if n > 1 and len(lines) >= 4 and repetition([x.strip() for x in lines]) > 0.6 and len(set(x.strip() for x in lines)) <= 3:
-        chars = Counter({"junk": total})
-    if len(words) >= 30 and (len(set(lower)) <= 0.12 * len(words) ** 0.9 and max(top_ngram(lower, k) for k in (1, 2, 3, 4)) > 0.5):
-        chars = Counter({"junk": total})
-    if len(text) >= 400 and len(zlib.compress(text.encode("utf-8", "surrogatepass"))) < 0.06 * len(text):
-        chars = Counter({"junk": total})
+    again = repetition([x.strip() for x in lines])
+    ngrams = {k: top_ngram(lower, k) for k in (1, 2, 3, 4)}
+    loops = repeated_ngrams(lower, LOOP)
+    if max(again, loops) > MOST_REPEATED or max(ngrams.values()) > 0.5 and len(set(lower)) <= 0.4 * len(lower):
+        if chars["table"] <= 0.5 * total:
+            chars = Counter({"junk": total})
     symbols = len(SYMBOL.findall(text))
     paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
     stats = {
@@ -204,11 +220,12 @@ def analyse(text: str) -> tuple[dict, dict]:
         "mean_word_length": sum(map(len, words)) / len(words) if words else None,
         "symbol_ratio": symbols / total,
         "line_end_share": sum(1 for x in lines if END.search(x.strip())) / n if n else None,
-        "common_word_share": sum(w in COMMON_WORDS or w in ARTICLES for w in lower) / len(lower) if lower else None,
-        "duplicate_line_share": repetition([x.strip() for x in lines]),
+        "common_word_share": sum(w in common_words for w in lower) / len(lower) if lower else None,
+        "duplicate_line_share": again,
         "duplicate_paragraph_share": repetition(paragraphs),
-        "top_bigram_share": top_ngram(lower, 2),
-        "top_trigram_share": top_ngram(lower, 3),
+        "top_bigram_share": ngrams[2],
+        "top_trigram_share": ngrams[3],
+        "repeated_ngram_share": loops,
     }
     return {k: chars[k] / total for k in ("list", "table", "junk")}, stats
 
@@ -219,27 +236,48 @@ def kind_of(shares: dict) -> str:
     return max(("junk", "table", "list"), key=lambda k: shares[k])
 
 
-STATS = ["mean_word_length", "symbol_ratio", "line_end_share", "common_word_share", "duplicate_line_share", "duplicate_paragraph_share", "top_bigram_share", "top_trigram_share"]
+STATS = ["mean_word_length", "symbol_ratio", "line_end_share", "common_word_share", "duplicate_line_share", "duplicate_paragraph_share", "top_bigram_share", "top_trigram_share", "repeated_ngram_share"]
 SCHEMA = "doc_id bigint, n_words bigint, " + ", ".join(f"{c} double" for c in STATS) + ", list_share double, table_share double, junk_share double, kind string"
 
 
-def _run(batches):
-    for pdf in batches:
-        rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            if not isinstance(text, str) or not text.strip():
-                rows.append((doc_id, 0, *[None] * len(STATS), 0.0, 0.0, 0.0, "blank"))
-                continue
-            shares, st = analyse(text)
-            rows.append((doc_id, st["n_words"], *[st[c] for c in STATS], shares["list"], shares["table"], shares["junk"], kind_of(shares)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_words", *STATS, "list_share", "table_share", "junk_share", "kind"])
-
-
-def text_quality(docs: DataFrame) -> DataFrame:
+def common_words(docs: DataFrame, share: float = COMMON_SHARE, times: float = COMMON_TIMES) -> frozenset[str]:
+    """The common words of all documents (text), lower case. Lines are counted, not occurrences; counts are merged before the
+    shuffle. What comes to the driver is bounded by the share."""
+    lines = docs.where(F.col("text").isNotNull()).select(F.explode(F.split("text", r"[\r\n\u2028\u2029]+")).alias("line"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD_PATTERN.replace("\\\\", "\\")), F.lit(0)))
+    lines = lines.select(words.alias("w"), F.col("line").rlike(SENTENCE_END.replace("\\\\", "\\")).alias("end")).where("size(w) > 0")
+    # a sentence: an end, and as many words as make one
+    lines = lines.select("w", (F.col("end") & (F.size("w") >= 4)).alias("sentence"))
+    n = lines.agg(F.count_if("sentence").alias("s"), F.count_if(~F.col("sentence")).alias("o")).first()
+    if not n["s"]:
+        return frozenset()
+    c = lines.select("sentence", F.explode("w").alias("w")).groupBy("w").agg(F.count_if("sentence").alias("s"), F.count_if(~F.col("sentence")).alias("o"))
+    often = F.col("s") >= max(2, share * n["s"])
+    mine = F.col("s") / n["s"] >= times * (F.col("o") + 0.5) / max(1, n["o"])
+    return frozenset(r[0] for r in c.where(often & mine).select("w").collect())
+
+
+def _run(common: frozenset[str]):
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                if not isinstance(text, str) or not text.strip():
+                    rows.append((doc_id, 0, *[None] * len(STATS), 0.0, 0.0, 0.0, "blank"))
+                    continue
+                shares, st = analyse(text, common)
+                rows.append((doc_id, st["n_words"], *[st[c] for c in STATS], shares["list"], shares["table"], shares["junk"], kind_of(shares)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_words", *STATS, "list_share", "table_share", "junk_share", "kind"])
+
+    return run
+
+
+def text_quality(docs: DataFrame, common: frozenset[str] | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): the statistics, the shares of list, table and junk characters, and ``kind``:
     ``prose``, ``list``, ``table``, ``junk``, or ``blank`` for null, empty and blank texts (no words, null statistics).
-    Repeated rows come out as often; other columns are ignored."""
-    return docs.select("doc_id", "text").mapInPandas(_run, SCHEMA)
+    Repeated rows come out as often; other columns are ignored. The common words are those of ``docs`` unless given."""
+    docs = docs.select("doc_id", "text")
+    return docs.mapInPandas(_run(common_words(docs) if common is None else common), SCHEMA)
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:

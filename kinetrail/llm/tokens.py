@@ -140,13 +140,33 @@ class TrieEncoder:
             before = b
         return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+    def _pieces(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of each text, all of them known afterwards."""
         pieces = [self.split.findall(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
         new = {w for ps in pieces for w in ps if w not in known}
         known.update(self.words(list(new)))
+        return pieces
+
+    def count_batch(self, texts: list[str | None]) -> list[int]:
+        """Number of tokens of each text; no list of ids is built."""
+        pieces, known = self._pieces(texts), self.known
+        size: dict[str, int] = {}
+        out = []
+        for ps in pieces:
+            n = 0
+            for w in ps:
+                k = size.get(w)
+                if k is None:
+                    k = size[w] = len(known[w])
+                n += k
+            out.append(n)
+        return out
+
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        pieces, known = self._pieces(texts), self.known
         out = []
         for ps in pieces:
             ids: list[int] = []

@@ -76,6 +76,8 @@ def test_mixture_against_plain_draw(spark):
     assert mixing.mix(df.limit(0), t).count() == 0
 
 
+#: Words that a corpus of these languages would show to be common.
+COMMON = frozenset("the was for most of it did not move until and then this is hard to say would go on we what that by ob es sich um hier kaum nach der war zu sehen nicht mehr with are be as in".split())
 PROSE = "The animal was seen near the wall for most of the session. It did not move until the light changed, and then it ran.\nWhy this happened is hard to say."
 
 
@@ -100,18 +102,24 @@ PROSE = "The animal was seen near the wall for most of the session. It did not m
         ("Retry Cancel OK " * 20, "junk"),
         ("00000000  3a e0 db 70 4d 82 46 56 73 38 c9 21 18 3b f1 98\n00000010  67 6d 0b 0d 91 1c ca e5 6d fa df f1 58 fb 5d fc", "junk"),
         ("of it and with are the to was that of it is be as it be it with in it as was was and was as is that be", "junk"),
+        ("Retry Cancel OK " * 3, "junk"),
+        ("Животное долго стояло у стены и не двигалось. Потом оно медленно пошло к центру клетки.", "prose"),
+        ("Το ζώο έμεινε κοντά στον τοίχο για πολλή ώρα. Μετά κινήθηκε προς το κέντρο.", "prose"),
+        ("بقي الحيوان قرب الجدار لفترة طويلة. ثم تحرك ببطء نحو الوسط.", "prose"),
+        ("जानवर बहुत देर तक दीवार के पास रहा। फिर वह धीरे से बीच में आया।", "prose"),
+        ("нос, хвост, левое ухо, правое ухо, шея, спина", "list"),
         (PROSE + "\n- nose\n- ear\n- tail", "prose"),
         (PROSE + " <|endoftext|>", "prose"),
     ],
 )
 def test_kinds(text, kind):
-    assert quality.kind_of(quality.analyse(text)[0]) == kind
+    assert quality.kind_of(quality.analyse(text, COMMON)[0]) == kind
 
 
 def test_quality_table(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, PROSE), (4, PROSE), (5, "- nose\n- ear\n- tail\n- wall"), (6, "a " * 200_000)]
     df = spark.createDataFrame([(i, t, "x", 9) for i, t in rows], "doc_id bigint, text string, kind string, n_words int")
-    got = quality.text_quality(df).collect()
+    got = quality.text_quality(df, COMMON).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     assert [by[i].kind for i in (1, 2, 3, 4, 5, 6)] == ["blank"] * 3 + ["prose", "list", "junk"]
@@ -119,3 +127,24 @@ def test_quality_table(spark):
     assert by[4].duplicate_line_share == 0 and 0.3 < by[4].common_word_share < 1
     assert quality.repetition(["a", "b", "a", "a"]) == 0.5
     assert quality.text_quality(df.limit(0)).count() == 0
+
+
+def test_common_words_come_from_the_corpus(spark):
+    lines = [f"The tarn was {w} near the quay and it would not stay." for w in ("seen", "left", "marked", "late", "wet", "cold")] * 10
+    items = ["- quay\n- tarn\n- wet rope", "quay, tarn, rope, net, sail", "tarn;quay;net"] * 40
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines + items + [None, ""])], "doc_id bigint, text string").repartition(4)
+    got = quality.common_words(df)
+    assert {"the", "was", "near", "and", "it", "would", "not", "stay"} <= got and not {"tarn", "quay", "net", "rope"} & got
+    assert quality.common_words(df.limit(0)) == frozenset()
+    kinds = {r.doc_id: r.kind for r in quality.text_quality(df).collect()}
+    assert kinds[0] == "prose" and kinds[60] == "list" and kinds[62] == "table" and kinds[180] == "blank"
+
+
+def test_counts_are_lengths_and_weights_have_a_value(spark):
+    texts = ["nose and tail", None, "", " ", "a a a a a a", "3;4;5;6", "нос и хвост"]
+    enc = tokens.encoder(tokens.vocabulary())
+    assert enc.count_batch(texts) == [len(x) for x in enc.encode_batch(texts)]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id bigint, source string, text string")
+    q = {r.doc_id: (r.n_tokens, r.quality) for r in mixing.size_and_quality(df, tokens.vocabulary()).collect()}
+    assert [q[i][0] for i in range(7)] == enc.count_batch(texts)
+    assert q[0][1] == q[6][1] == 1.0 and q[4][1] < 0.3 and all(q[i][1] == mixing.LEAST_QUALITY for i in (1, 2, 3, 5))
