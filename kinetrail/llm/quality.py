@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrail.plans.runtime import table
+from kinetrail.plans.runtime import cut, table
 
 #: A common word stands in this share of the sentence lines or more, so there are no more such words than a line has words on
 #: average over the share; and its share is this many times that among the other lines.
@@ -248,11 +248,13 @@ def common_words(docs: DataFrame, share: float = COMMON_SHARE, times: float = CO
     lines = lines.select(words.alias("w"), F.col("line").rlike(SENTENCE_END.replace("\\\\", "\\")).alias("end")).where("size(w) > 0")
     # a sentence: an end, and as many words as make one
     lines = lines.select("w", (F.col("end") & (F.size("w") >= 4)).alias("sentence"))
-    n = lines.agg(F.count_if("sentence").alias("s"), F.count_if(~F.col("sentence")).alias("o")).first()
-    if not n["s"]:
+    # the empty word stands for the line itself, so that one pass counts the lines too
+    c = lines.select("sentence", F.explode(F.concat("w", F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count_if("sentence").alias("s"), F.count_if(~F.col("sentence")).alias("o"))
+    c = cut(c)
+    n = c.where("w = ''").first()
+    if n is None or not n["s"]:
         return frozenset()
-    c = lines.select("sentence", F.explode("w").alias("w")).groupBy("w").agg(F.count_if("sentence").alias("s"), F.count_if(~F.col("sentence")).alias("o"))
-    often = F.col("s") >= max(2, share * n["s"])
+    often = (F.col("w") != "") & (F.col("s") >= max(2, share * n["s"]))
     mine = F.col("s") / n["s"] >= times * (F.col("o") + 0.5) / max(1, n["o"])
     return frozenset(r[0] for r in c.where(often & mine).select("w").collect())
 
