@@ -251,7 +251,7 @@ def test_tail_fit():
     u, n = np.unique(np.round(x, 2), return_counts=True)
     at = spikes.gpd_cutoff(u, n, 1e-6)
     assert 2 * np.log(1e6) * 0.85 < at < 2 * np.log(1e6) * 1.15  # the share of outliers moves the cutoff little
-    shape, scale = spikes.gpd(rng.pareto(5, 400_000) / 5, np.ones(400_000))
+    shape, scale = spikes.gpd(rng.pareto(5, 400_000), np.ones(400_000))
     assert abs(shape - 0.2) < 0.03 and abs(scale - 0.2) < 0.02
     assert spikes.gpd_cutoff(np.zeros(1), np.array([50])) == 0.0
     phase = np.repeat(np.arange(12), 500)
