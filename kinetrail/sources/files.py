@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import csv
 import io
+import re
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,3 +119,72 @@ def write_if_any(df: DataFrame, path: str, by: str | None = None) -> bool:
     w = df.write.mode("ignore")
     (w.partitionBy(by) if by else w).parquet(path)
     return True
+
+
+def peek_bodyparts(spark: SparkSession, path: str) -> list[str]:
+    """Body parts of a tracking CSV in their order, from its header alone."""
+    return list(dict.fromkeys(b for b, _ in header([r[0] for r in spark.read.text(path).limit(6).collect()])[1]))
+
+
+def fps_hint(name: str) -> float | None:
+    """Frames per second in a file name such as ``run_60fps_a.csv``."""
+    m = re.search(r"_(\d+(?:\.\d+)?)fps_", name)
+    return float(m[1]) if m else None
+
+
+def load_source(spark: SparkSession, paths: list[str], fps_assumed: float | None = None, *, least: int = 10) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """All readable tracking files of a source as one table with ``fps`` (hint of the name, else assumed, else 30), and the files left out
+    with the reason: unreadable, or fewer than ``least`` frames. None without a file."""
+    out, failed = None, []
+    for p in sorted(paths):
+        stem = re.sub(r"\.[^.]+$", "", p.rsplit("/", 1)[-1])
+        try:
+            t = read_pose_csv(spark, p, stem)
+            n = t.select("frame").distinct().limit(least).count()
+        except Exception as e:  # an unreadable file must not stop the others
+            failed.append((p, type(e).__name__))
+            continue
+        if n < least:
+            failed.append((p, "too short"))
+            continue
+        t = t.withColumn("fps", F.lit(fps_hint(p.rsplit("/", 1)[-1]) or fps_assumed or 30.0))
+        out = t if out is None else out.unionByName(t)
+    return out, failed
+
+
+def example_clips(files: DataFrame) -> DataFrame:
+    """Clips ``group_N_example_M`` and ``cluster_N[_animal]_example_M`` by cluster: cluster, gif (the first by path), mp4s (sorted)."""
+    n = F.regexp_extract("name", r"(?i)^(?:group_(\d+)|cluster_(\d+)(?:_[^/]*)?)_example_\d+\.(?:mp4|gif)$", 0)
+    number = F.regexp_extract("name", r"(?i)^(?:group|cluster)_(\d+)", 1).cast("bigint")
+    f = files.where(n != "").select(number.alias("cluster"), "path", "ext")
+    return f.groupBy("cluster").agg(F.min(F.when(F.col("ext") == "gif", F.col("path"))).alias("gif"), F.sort_array(F.collect_list(F.when(F.col("ext") == "mp4", F.col("path")))).alias("mp4s"))
+
+
+def video_of(files: DataFrame, stem: str, folders: list[str]) -> DataFrame:
+    """The first video of a stem over the folders in order, then the extensions in order: path."""
+    place = F.coalesce(*[F.when(F.col("path").contains(d), i) for i, d in enumerate(folders)])
+    kind = F.array_position(F.array(*[F.lit(v) for v in VIDEOS]), F.col("ext"))
+    v = files.where((F.col("stem") == stem) & F.col("ext").isin(*VIDEOS)).withColumn("_p", place).where("_p is not null")
+    return v.agg(F.min_by("path", F.struct("_p", kind.alias("k"), "path")).alias("path")).where("path is not null")
+
+
+def training_rows(df: DataFrame, key: str, *, full: int = 10_000, share: float = 0.3, seed: int = 42) -> DataFrame:
+    """All rows of a table of up to ``full`` rows, beyond that the share of them with the smallest hash of their key."""
+    if df.limit(full + 1).count() <= full:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def decode_typed(text: str, kind: str) -> np.ndarray:
+    """Values of a base64 typed array; ``kind``: f4, f8 or i4, little endian."""
+    if kind not in ("f4", "f8", "i4"):
+        raise ValueError(f"unknown kind of array: {kind}")
+    return np.frombuffer(base64.b64decode(text), dtype=f"<{kind}")
+
+
+def optional_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A parquet table where there is one, else None."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
