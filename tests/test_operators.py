@@ -230,3 +230,20 @@ def test_stream_windows(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("tumbled").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("select sum(n) from tumbled").first()[0] == 6
+
+
+def test_feature_matrix_totals_are_those_of_the_packed_table(spark, data, monkeypatch):
+    """One shuffle of readings, in shards of any size, against the long table of all blocks; no exchange holds a feature's name."""
+    from kinetrail.operators import matrix as M
+    from kinetrail.queries import matrix as Q
+
+    old = M.packed(Q.matrix(spark, data)).select("session_id", "bin", F.size("features").alias("n"), F.aggregate(F.map_values("features"), F.lit(0.0), lambda a, v: a + v).alias("t"))
+    old = {(r.session_id, r.bin): (r.n, r.t) for r in old.collect()}
+    for shard in (1200, 20):
+        monkeypatch.setattr(M, "SHARD_BINS", shard)
+        got = Q.matrix_totals(spark, data)
+        assert "feature" not in got._jdf.queryExecution().optimizedPlan().toString().replace("n_features", "")
+        got = {(r.session_id, r.bin): (r.n_features, r.total) for r in got.collect()}
+        assert got.keys() == old.keys()
+        for k, (n, t) in old.items():
+            assert got[k][0] == n and abs(got[k][1] - t) < 1e-6 * max(1, abs(t)), k
