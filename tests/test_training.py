@@ -275,3 +275,18 @@ def test_no_border_changes_tracks(spark):
     x = np.array([r[3] for r in rows])
     want = [sum(x[max(0, i - 2) : i + 3]) / 5 for i in range(len(x))]
     assert np.allclose([r[3] for r in sorted(clean.boxcar(t, 5, shard=10).select("session_id", "bodypart", "frame", "x").collect())], want)
+
+
+def test_many_asked_groups_are_sieved(spark, data, monkeypatch):
+    """Beyond the size of a small broadcast the groups are found by bits: the fills are the same, and the driver holds no hashes."""
+    from kinetrail.operators import missing
+
+    key = lambda r: (r.session_id, r.source, r.bodypart, r.frame, r.field, r.value, r.fill_level)
+    want = sorted(map(key, missing.p3_fills(spark, data).collect()), key=str)
+    monkeypatch.setattr(missing, "NEED_BYTES", 0)
+    monkeypatch.setattr(missing, "SIEVE_WORDS", 64)
+    assert sorted(map(key, missing.p3_fills(spark, data).collect()), key=str) == want
+    rows = spark.range(-3000, 3000).selectExpr("xxhash64(id) as _h", "id")
+    need = rows.where("id % 100 = 0").select("_h")
+    got = {r.id for r in missing.sieved(rows, need).collect()}
+    assert {i for i in range(-3000, 3000) if i % 100 == 0} <= got and len(got) < 600
